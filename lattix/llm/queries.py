@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattix.llm import chat, langid, mixing, quality
+from lattix.llm import chat, langid, mixing, neardup, quality
 from lattix.llm.common import fold_of, table
 
 
@@ -16,6 +16,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.format_conversations(turns.unionByName(extra))))
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -39,5 +44,5 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_mixing, op5_quality_rules, op7_language_id)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_mixing, op5_quality_rules, op7_language_id)}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.TAKEN_SQL.format(docs="documents")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattix.llm import chat, langid, mixing, neardup, quality
+from lattix.llm import chat, langid, mixing, neardup, quality, urls
 from lattix.llm.common import fold_of, table
 
 
@@ -26,6 +26,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.learn_rules(docs, table(spark, sf_dir, "labels"))
@@ -44,5 +51,5 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_mixing, op5_quality_rules, op7_language_id)}
-ORACLES: dict[str, str] = {"op3_mixing": mixing.TAKEN_SQL.format(docs="documents")}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_mixing, op4_url_filter, op5_quality_rules, op7_language_id)}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.TAKEN_SQL.format(docs="documents"), "op4_url_filter": urls.verdict_sql(URL_RULES, "pages")}

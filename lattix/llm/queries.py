@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattix.llm import chat, langid, mixing, neardup, quality, urls
+from lattix.llm import chat, langid, lm, mixing, neardup, quality, tokens, urls
 from lattix.llm.common import fold_of, table
 
 
@@ -42,6 +42,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Folder of the public vocabulary files, as read by the driver.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text")
+    return tokens.context_table(tokens.length_histogram(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold_of("doc_id", 4) == 2
@@ -51,5 +60,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_mixing, op4_url_filter, op5_quality_rules, op7_language_id)}
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_documents(docs, fold_of("doc_id", 10) != 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_mixing, op4_url_filter, op5_quality_rules, op6_token_counts, op7_language_id, op8_lm_score)}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.TAKEN_SQL.format(docs="documents"), "op4_url_filter": urls.verdict_sql(URL_RULES, "pages")}

@@ -4,8 +4,8 @@ Every language gets a codeword; one linear n-gram classifier per bit tells the l
 with a 0.  A text's bit margins are decoded to the codeword with the least weighted loss, where a bit weighs as much
 as it separated the training rows, and the distance to the second codeword says how sure the answer is.
 
-Counts of n-grams come from a sample of at most ``max_docs_per_language`` texts of each language (the texts with the
-smallest hash of their id: a documented bound); predictions cover every whole text.  N-grams are taken inside words,
+Counts of n-grams come from a sample of about ``max_docs_per_language`` texts of each of the ``max_languages`` most
+frequent languages, drawn by a hash of the id (documented bounds); predictions cover every whole text.  N-grams are taken inside words,
 with marks at both ends, so a word's contribution is computed once per batch of texts.
 
 Defined results: a null text or one without letters is ``und`` with score 0; so is every text where no language was
@@ -148,22 +148,21 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
 
-def training_sample(docs: DataFrame, max_docs_per_language: int) -> DataFrame:
-    """(lang, text) of each language's documents with the smallest hash.  Only ids are shuffled; the few texts that
-    are kept come by a join with a table whose size the bound limits."""
-    from pyspark.sql import Window
-
+def training_sample(docs: DataFrame, max_docs_per_language: int, max_languages: int) -> DataFrame:
+    """(lang, text) of the documents whose hash is below their language's share, which leaves about
+    ``max_docs_per_language`` of each of the ``max_languages`` most frequent languages.  Nothing is shuffled but counts."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = usable.select("lang", F.col("doc_id").alias("__id"), F.xxhash64(F.lit(11), "doc_id").alias("__h"))
-    w = Window.partitionBy("lang").orderBy("__h", "__id")
-    some = ids.select("lang", "__id", F.row_number().over(w).alias("__r")).where(F.col("__r") <= max_docs_per_language)
-    some = some.select(F.col("__id"), F.col("lang").alias("__lang")).distinct()
-    return usable.join(some, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    if not counts:
+        return usable.select("lang", "text").limit(0)
+    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, max_docs_per_language / r["n"])))))
+    at = (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
+    return usable.where(at < F.try_element_at(share, F.col("lang"))).select("lang", "text")
 
 
-def learn(docs: DataFrame, *, max_docs_per_language: int = 1_000, smoothing: float = 0.5) -> Model:
+def learn(docs: DataFrame, *, max_docs_per_language: int = 1_000, max_languages: int = 500, smoothing: float = 0.5) -> Model:
     """A model from (doc_id, text, lang) rows; the caller leaves out what must not be learned from."""
-    sample = training_sample(docs.select("doc_id", "text", "lang"), max_docs_per_language)
+    sample = training_sample(docs.select("doc_id", "text", "lang"), max_docs_per_language, max_languages)
     got = sample.mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(got["lang"].unique())
     counts = np.zeros((len(languages), BUCKETS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattix.llm import chat, langid, lm, mixing, neardup, quality, tokens, urls
+from lattix.llm import ann, chat, langid, lm, mixing, neardup, pieces, quality, tokens, urls
 from lattix.llm.common import fold_of, table
 
 
@@ -65,5 +65,15 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(docs, fold_of("doc_id", 10) != 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_mixing, op4_url_filter, op5_quality_rules, op6_token_counts, op7_language_id, op8_lm_score)}
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_mixing, op4_url_filter, op5_quality_rules, op6_token_counts, op7_language_id, op8_lm_score, op9_nearest, op10_sentencepiece)}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.TAKEN_SQL.format(docs="documents"), "op4_url_filter": urls.verdict_sql(URL_RULES, "pages")}

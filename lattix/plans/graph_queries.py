@@ -151,11 +151,12 @@ for _k in (1, 2, 3):
         return edges.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-_WALK = """with recursive walk(id, hop) as (select 'm:' || cast(p_partkey as varchar), 0 from part where p_partkey <= 50
-    union all select e.b, hop + 1 from walk join e on e.a = walk.id where hop < 3),
-  e as (select 'm:' || cast(l_partkey as varchar) as a, 'stat:' || cast(l_suppkey as varchar) as b from (select distinct l_partkey, l_suppkey from lineitem where l_partkey % 7 <> 0) x
+_WALK = """with recursive e as (
+    select 'm:' || cast(l_partkey as varchar) as a, 'stat:' || cast(l_suppkey as varchar) as b from (select distinct l_partkey, l_suppkey from lineitem where l_partkey % 7 <> 0) x
     union all select 'stat:' || cast(s_suppkey as varchar), 'assum:' || cast(s_nationkey as varchar) from supplier
-    union all select 'assum:' || cast(n_nationkey as varchar), 'diag:' || cast(n_regionkey as varchar) from nation where n_nationkey % 6 <> 5)
+    union all select 'assum:' || cast(n_nationkey as varchar), 'diag:' || cast(n_regionkey as varchar) from nation where n_nationkey % 6 <> 5),
+  walk(id, hop) as (select 'm:' || cast(p_partkey as varchar), 0 from part where p_partkey <= 50
+    union all select e.b, hop + 1 from walk join e on e.a = walk.id where hop < 3)
   select id, min(hop) as hop from walk group by id"""
 
 

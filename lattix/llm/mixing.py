@@ -103,19 +103,20 @@ def split_tree(units: DataFrame, levels: int, *, seed: int = 0) -> DataFrame:
         packed = nodes.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "units"))).alias("counts"), F.sum("units").alias("total"))
         start = F.struct(F.col("total").alias("total"), F.expr("total div 2").alias("drawn"), F.expr("cast(array() as array<struct<rank:int,units:bigint,left:bigint>>)").alias("out"), F.col("node").alias("node"))
 
-        def step(a: Column, c: Column, level=level) -> Column:
-            x = hypergeometric(a["total"], c["units"], a["drawn"], _uniform(F.lit(seed), F.lit(level), a["node"], c["rank"]))
+        salt = F.lit(level)
+
+        def step(a: Column, c: Column, salt: Column) -> Column:
+            x = hypergeometric(a["total"], c["units"], a["drawn"], _uniform(F.lit(seed), salt, a["node"], c["rank"]))
             left = F.transform(F.array(x), lambda v: F.struct(c["rank"].alias("rank"), c["units"].alias("units"), v.alias("left")))
             return F.struct(
                 (a["total"] - c["units"]).alias("total"), (a["drawn"] - left[0]["left"]).alias("drawn"), F.concat(a["out"], left).alias("out"), a["node"].alias("node")
             )
 
-        split = packed.select("node", F.explode(F.aggregate("counts", start, step, lambda a: a["out"])).alias("c"))
-        both = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.col("c.left").alias("units")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("c.units") - F.col("c.left")).alias("units")),
-        )
-        nodes = split.select(F.col("c.rank").alias("rank"), F.explode(both).alias("n")).select("n.node", "rank", "n.units")
+        split = packed.select("node", F.explode(F.aggregate("counts", start, lambda a, c: step(a, c, salt), lambda a: a["out"])).alias("c"))
+        split = split.select("node", "c.rank", "c.units", "c.left")
+        left = split.select((F.col("node") * 2).alias("node"), "rank", F.col("left").alias("units"))
+        right = split.select((F.col("node") * 2 + 1).alias("node"), "rank", (F.col("units") - F.col("left")).alias("units"))
+        nodes = stored(left.unionByName(right), "nodes")
     return nodes.select("rank", F.col("node").alias("shard"), "units")
 
 

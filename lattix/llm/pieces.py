@@ -50,6 +50,7 @@ class Pieces:
     kinds: np.ndarray
     merges: bool  # a BPE model
     cache: dict[str, np.ndarray] = field(default_factory=dict)
+    older: dict[str, np.ndarray] = field(default_factory=dict)
     pairs: dict[int, bool] = field(default_factory=dict)
 
     def __getstate__(self):
@@ -82,6 +83,7 @@ class Pieces:
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(list(self.ids.values()), np.int64)[order]
         self.bytes_ids = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == BYTE}
+        self.known, self.known_valid = np.array([-1]), np.array([True])
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.raw = [
             bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else t.replace(BLANK, " ").encode("utf-8", "surrogatepass")
@@ -113,22 +115,30 @@ class Pieces:
         """Whether each pair of pieces is what BPE makes of its text; -1 stands for nothing or an unknown character."""
         n = len(self.texts) + 1
         distinct, back = np.unique((before + 1) * n + piece + 1, return_inverse=True)
-        out = np.empty(len(distinct), bool)
-        for k, key in enumerate(distinct.tolist()):
-            known = self.pairs.get(key)
-            if known is None:
+        at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+        out = self.known_valid[at]
+        for k in np.flatnonzero(self.known[at] != distinct).tolist():
+            key = int(distinct[k])
+            valid = self.pairs.get(key)
+            if valid is None:
                 a, b = key // n - 1, key % n - 1
-                if b < 0:
-                    known = True
-                else:
-                    parts = [self.texts[b]] if a < 0 else [self.texts[a], self.texts[b]]
-                    known = self.merged("".join(parts)) == parts
-                if len(self.pairs) > 2_000_000:
-                    self.pairs.clear()
-                self.pairs[key] = known
-            out[k] = known
+                parts = [self.texts[b]] if a < 0 else [self.texts[a], self.texts[b]]
+                valid = self.pairs[key] = b < 0 or self.merged("".join(parts)) == parts
+            out[k] = valid
+        if len(self.pairs) > 10_000:
+            self._remember()
         return out[back]
 
+    def _remember(self) -> None:
+        """Move the pairs met of late into the sorted arrays; start anew when there are very many."""
+        if len(self.known) > 4_000_000:
+            self.known, self.known_valid = self.known[:1], self.known_valid[:1]
+        keys = np.concatenate([self.known, np.fromiter(self.pairs, np.int64, len(self.pairs))])
+        valid = np.concatenate([self.known_valid, np.fromiter(self.pairs.values(), bool, len(self.pairs))])
+        order = np.argsort(keys, kind="stable")
+        self.known, self.known_valid = keys[order], valid[order]
+        self.pairs.clear()
+
     def viterbi(self, words: list[str]) -> list[np.ndarray]:
         """The pieces of words of one length."""
         n, w = len(words[0]), len(words)
@@ -161,14 +171,21 @@ class Pieces:
             top = m - 1 - top
             cols = np.arange(w)
             best[i], last[i], length[i] = value[top, cols], piece[top, cols], top + 1
-        out = []
-        for j, word in enumerate(words):
+        # all words step back together
+        at, steps, cols = np.full(w, n), [], np.arange(w)
+        while at.any():
+            steps.append(np.where(at > 0, last[at, cols], -2))
+            at = at - length[at, cols]
+        back = np.stack(steps[::-1], 1)
+        there = back != -2
+        out = np.split(back[there].astype(np.int32), np.cumsum(there.sum(1))[:-1])
+        for j in np.flatnonzero((back == -1).any(1)):  # words with characters that have no piece
             ids, i = [], n
             while i:
                 p, k = last[i, j], length[i, j]
-                ids.extend([int(p)] if p >= 0 else self._spelled(word[i - k : i])[::-1])
+                ids.extend([int(p)] if p >= 0 else self._spelled(words[j][i - k : i])[::-1])
                 i -= k
-            out.append(np.array(ids[::-1], np.int32))
+            out[j] = np.array(ids[::-1], np.int32)
         return out
 
     def _spelled(self, char: str) -> list[int]:
@@ -185,12 +202,15 @@ class Pieces:
             counts.append(len(chunks))
         if not flat:
             return [np.empty(0, np.int32) for _ in texts]
-        if len(self.cache) > 400_000:
-            self.cache.clear()
+        if len(self.cache) > 300_000:  # chunks that come again move to the newer half
+            self.older, self.cache = self.cache, {}
         new: dict[int, list[str]] = {}
         for c in seen:
             if c not in self.cache:
-                new.setdefault(len(c), []).append(c)
+                if c in self.older:
+                    self.cache[c] = self.older[c]
+                else:
+                    new.setdefault(len(c), []).append(c)
         for n, words in new.items():
             step = max(1, 400_000 // n)
             for a in range(0, len(words), step):
@@ -228,7 +248,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str]) -> Da
             for i, t in enumerate(texts):
                 held.append(t.as_py())
                 size += len(held[-1] or "")
-                if size >= 2_000_000 or i + 1 == b.num_rows:
+                if size >= 6_000_000 or i + 1 == b.num_rows:
                     ids = pieces.encode(held)
                     same = [pieces.decode(x) == (t or "") for x, t in zip(ids, held, strict=True)]
                     lens = np.fromiter(map(len, ids), np.int64, len(ids))

@@ -22,7 +22,7 @@ EDGE_KINDS = [
     "WRAPS", "PERFORMS", "INPUT", "OUTPUT", "PACKAGED_AS", "FROM_PACKAGE", "IS_A", "SAME_AS", "HAS_MODULE", "DOWNSTREAM_OF", "USES_STATISTICAL_METHOD",
     "REQUIRES_ASSUMPTION", "AMENABLE_TO", "CHECKED_BY", "RUNS_AS", "HAS_MODALITY", "ANALYZED_BY", "HAS_TOPIC", "HAS_FORMAT", "CITES",
 ]
-ONTOLOGY_KINDS = ["Operation", "Data", "Format", "StatisticalMethod", "Assay", "Protocol", "StudyDesign", "Instrument", "Material"]
+ONTOLOGY_KINDS = ["Operation", "Topic", "Data", "Format", "StatisticalMethod", "Assumption", "Diagnostic", "Assay", "Protocol", "StudyDesign", "Material", "Instrument"]
 
 # Which kinds an edge may join.  PACKAGED_AS may end in a Package where a build had no container to offer;
 # the audit counts those as violations.

@@ -26,7 +26,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,34 +61,34 @@ def pairs(t: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0xC2B2AE3D27D4EB4F) + t) | np.uint64(1)
 
 
-def _counted(of: Callable[[np.ndarray], np.ndarray]):
-    """Counts of keys, summed over some millions of tokens before they leave the task."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words and of pairs, summed over some millions of tokens before they leave the task."""
+    held: list[np.ndarray] = []
+    size = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush():
-            keys, n = np.unique(of(np.concatenate(held)), return_counts=True)
-            held.clear()
+    def flush():
+        flat = np.concatenate(held)
+        held.clear()
+        for pair, every in ((False, flat), (True, pairs(flat))):
+            keys, n = np.unique(every, return_counts=True)
             for a in range(0, len(keys), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 500_000].view(np.int64)), pa.array(n[a : a + 500_000])], ["key", "n"])
-
-        for b in batches:
-            for t in b.column(0):
-                held.append(x := tokens(t.as_py()))
-                size += len(x)
-                if size >= _FLUSH:
-                    yield from flush()
-                    size = 0
-        if held:
-            yield from flush()
+                part = keys[a : a + 500_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), pair)), pa.array(part), pa.array(n[a : a + 500_000])], ["pair", "key", "n"])
 
-    return run
+    for b in batches:
+        for t in b.column(0):
+            held.append(x := tokens(t.as_py()))
+            size += len(x)
+            if size >= _FLUSH:
+                yield from flush()
+                size = 0
+    if held:
+        yield from flush()
 
 
-def counts_of(texts: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    return texts.select("text").mapInArrow(_counted(of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def counts_of(texts: DataFrame) -> DataFrame:
+    """(pair, key, n) of all words and pairs."""
+    return texts.select("text").mapInArrow(_counted, "pair boolean, key long, n long").groupBy("pair", "key").agg(F.sum("n").alias("n"))
 
 
 def quantised(n: Column) -> Column:
@@ -140,8 +140,8 @@ def read_levels(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def build_filter(ngrams: DataFrame) -> np.ndarray:
-    """The filter of (key, n) rows as bytes."""
-    levels = stored(ngrams.select("key", quantised(F.col("n")).cast("byte").alias("q")), "levels")
+    """The filter of stored (key, n) rows as bytes."""
+    levels = ngrams.select("key", quantised(F.col("n")).alias("q"))
     histogram = levels.groupBy("q").agg(F.count("*").alias("n")).toPandas().sort_values("q", ascending=False)
     entries = (histogram["q"].astype("int64") * histogram["n"]).cumsum().to_numpy()
     fits = entries * BITS_PER_ENTRY <= MAX_BITS
@@ -220,7 +220,8 @@ def score_documents(docs: DataFrame, trains: Column, *, top_words: int = TOP_WOR
     spark = docs.sparkSession
     rows = docs.select("doc_id", (~F.coalesce(trains, F.lit(False))).alias("held_out"), "text")
     training = rows.where(~F.col("held_out"))
-    words = stored(counts_of(training, lambda t: t), "words")
+    counts = stored(counts_of(training), "counts")
+    words = counts.where("not pair").select("key", "n")
     n_train, n_distinct = (int(x or 0) for x in words.agg(F.sum("n"), F.count("*")).first())
     levels = words.groupBy(quantised(F.col("n")).alias("q")).agg(F.count("*").alias("n")).toPandas().sort_values("q", ascending=False)
     fits = levels["n"].cumsum().to_numpy() <= top_words
@@ -228,7 +229,7 @@ def score_documents(docs: DataFrame, trains: Column, *, top_words: int = TOP_WOR
     top = words.where(quantised(F.col("n")) >= lowest).toPandas()
     keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    filter_ = build_filter(words.unionByName(counts_of(training, pairs)))
+    filter_ = build_filter(counts)
     shared = spark.sparkContext.broadcast((filter_, keys[order], top["n"].to_numpy(np.int64)[order]))
     run, _ = _scored(shared, n_train, n_distinct)
     scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<bigint>")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lattix.llm.common import stored
 
-LEAF_ROWS = 64
+LEAF_ROWS = 256
 
 
 def chi_square_quantile(p: float, k: int) -> float:
@@ -108,6 +108,8 @@ def search_block(q_ids, q, ids, x, top: float, projection: np.ndarray, k: int, l
             rows = np.arange(starts[n], stops[n])
             s = q[a] @ x[rows].T
             s[q_ids[a][:, None] == ids[rows][None]] = -np.inf
+            better = s.max(1) >= best[a, -1]
+            a, s = a[better], s[better]
             s = np.hstack([best[a], s])
             at = np.hstack([best_at[a], np.broadcast_to(rows, (len(a), len(rows)))])
             first = np.lexsort((np.where(at >= 0, ids[at], np.iinfo(np.int64).max), -s), axis=1)[:, :k]
@@ -130,7 +132,7 @@ def _packed(rows: DataFrame, n: int) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, *, k: int = 20, dims: int = 8, confidence: float = 0.97, block_rows: int = 8_192, query_rows: int = 512, seed: int = 1
+    vectors: DataFrame, is_query: Column, *, k: int = 20, dims: int = 8, confidence: float = 0.9, block_rows: int = 8_192, query_rows: int = 512, seed: int = 1
 ) -> DataFrame:
     """(vec_id, embedding) rows to query_id, rank, vec_id and score, for the rows where ``is_query`` holds."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))

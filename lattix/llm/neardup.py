@@ -6,11 +6,13 @@ bins, which is the optimal densification.  Bands of four bins are the bucket key
 
 1. Documents with one and the same set form a class; only its smallest id goes on.  Copies are never paired.
 2. In a bucket, all members are paired with one centre, the smallest id: as many pairs as members, at most.
-3. Pairs are confirmed on full sets and confirmed pairs joined to components.
-4. A bucket whose members lie in several components gets more stars, with 8, 128, 2048 ... centres drawn by hash, of
-   which only pairs across components are looked at; where a bucket has fewer members than centres, every such pair
-   has been.  This ends when no bucket is left, so no link is lost to the star shape, and costs nothing for groups of
-   copies, which are whole after the first star.
+3. Pairs that an odd sketch (the parities of the set's hashes in 1,024 cells, whose difference tells the size of
+   the symmetric difference) shows to be too far apart, by five standard deviations, are left out; the others are
+   confirmed on full sets, and confirmed pairs joined to components.
+4. A star can miss a link between two members that are both too far from its centre, which matters only where a
+   bucket still holds several components.  In such buckets, and across components only, all members are compared by
+   sketch and those pairs that pass are confirmed in turn.  Buckets of more than ``MAX_BUCKET`` members are first cut
+   finer, by each further band that members share, so this work is bounded by members times ``MAX_BUCKET``.
 
 With 32 bands of four bins a pair at similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 = 5e-6.
 Sets are compared by 64-bit hashes of shingles.
@@ -28,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattix.llm.common import stored
@@ -38,6 +40,7 @@ BINS, ROWS = 128, 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _ORDERS = np.argsort(np.random.default_rng(2017).random((BINS, BINS)), axis=1)  # every bin's own order of all bins
 FILTER_BITS = 1 << 24
+CELLS, MAX_BUCKET = 1_024, 4_096
 
 
 class _Hashes(dict):
@@ -94,23 +97,31 @@ def bands(s: np.ndarray) -> np.ndarray:
     return h
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            n, f1, f2, keys = [], [], [], []
+            n, f1, f2, keys, sketches = [], [], [], [], []
             for t in batch.column(1):
                 s = shingles(t.as_py(), width)
                 n.append(len(s))
                 f1.append(int(s.sum(dtype=np.uint64)) if len(s) else 0)
                 f2.append(int(np.bitwise_xor.reduce(mixed(s + np.uint64(len(s))))) if len(s) else 0)
                 keys.append(bands(s).view(np.int64) if len(s) else None)
+                sketches.append(odd_sketch(s))
             lens = np.array([0 if k is None else len(k) for k in keys])
             flat = np.concatenate([k for k in keys if k is not None]) if lens.any() else np.empty(0, np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32())
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (CELLS // 64), pa.int32()), pa.array(np.concatenate(sketches) if n else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(n, pa.int64()), as_long(f1), as_long(f2), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "n_shingles", "f1", "f2", "bands"]
+                [ids.cast(pa.int64()), pa.array(n, pa.int64()), as_long(f1), as_long(f2), pa.ListArray.from_arrays(offsets, pa.array(flat)), cells],
+                ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"],
             )
 
     return run
@@ -145,51 +156,69 @@ def _asked_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return sets.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether two rows (n, sketch) can reach the threshold: by their sizes, exactly, and by their sketches.  At the
+    threshold the symmetric difference has d = (na + nb) * (1 - t) / (1 + t) elements; the parities that it turns odd
+    have a mean and a variance that follow from throwing d balls into the cells, and fewer for smaller d."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    d = (na + nb) * ((100 - percent) / (100 + percent))
+    m = float(CELLS)
+    one, two = F.pow(F.lit(1 - 2 / m), d), F.pow(F.lit(1 - 4 / m), d)
+    variance = (m + m * (m - 1) * two - m * m * one * one) / 4
+    odd = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(CELLS // 64)), F.lit(0))
+    return sizes & (odd <= m / 2 * (1 - one) + 5 * F.sqrt(F.greatest(variance, F.lit(0.0))) + 2)
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id and kept."""
-    sig = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(width), "doc_id long, n_shingles long, f1 long, f2 long, bands array<bigint>"), "signatures")
+    signed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(width), "doc_id long, n_shingles long, f1 long, f2 long, bands array<bigint>, sketch array<bigint>")
+    sig = stored(signed, "signatures")
     usable = sig.where("doc_id is not null and n_shingles > 0")
     key = ["n_shingles", "f1", "f2"]
-    reps = stored(usable.groupBy(*key).agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands")), "classes")
-
-    def alike(x: str, y: str):
-        return 100 * F.least(F.col(x), F.col(y)) >= percent * F.greatest(F.col(x), F.col(y))
-
-    spread = reps.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    crowded = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("c")).where("size > 1")
-    members = stored(spread.join(crowded, "bucket").select("bucket", "id", "n", "size", F.col("c.id").alias("c_id"), F.col("c.n").alias("c_n")), "members")
-    candidates = members.select("id").distinct()
-    sets = stored(_asked_sets(docs, candidates, width), "sets")
+    reps = usable.groupBy(*key).agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    reps = stored(reps, "classes")
+    spread = reps.select(F.explode("bands").alias("bucket"), "id")
+    crowded = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1")
+    members = stored(spread.join(crowded, "bucket"), "members")
+    known = reps.select("id", F.col("n_shingles").alias("n"), "sketch", "bands")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the threshold on full sets."""
+        pairs = stored(pairs, "pairs")
+        sets = _asked_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
+        sets = stored(sets, "sets")
         x = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         x = x.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         x = x.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
         return x.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
-    pairs = members.where((F.col("id") != F.col("c_id")) & alike("n", "c_n")).select(F.col("c_id").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(confirmed(pairs), "links")
+    stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(known.alias("x"), F.col("a") == F.col("x.id")).join(known.alias("y"), F.col("b") == F.col("y.id"))
+    links = stored(confirmed(stars.where(_near("x", "y", percent)).select("a", "b")), "links")
     labels = stored(connected_components(links), "labels")
-    centres = 8
-    open_buckets = members.select("bucket", "id", "n", "size")
-    while True:
-        placed = open_buckets.join(labels, open_buckets["id"] == labels["node"], "left").select("bucket", "id", "n", "size", F.coalesce("component", "id").alias("of"))
-        mixed_ = placed.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("bucket")
-        placed = stored(placed.join(mixed_, "bucket", "left_semi"), "open")
-        if placed.isEmpty():
+
+    def of_several(rows: DataFrame) -> DataFrame:
+        """The members of buckets that hold more than one component."""
+        sums = rows.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
+        return rows.join(sums, "bucket")
+
+    placed = members.select("bucket", "id").join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("of"))
+    open_ = stored(of_several(placed).withColumn("first", F.col("bucket")), "open")
+    for _ in range(3):
+        large = open_.where(F.col("size") > max_bucket)
+        if large.isEmpty():
             break
-        chosen = F.pmod(F.xxhash64("bucket", "id"), F.lit(1 << 30)) * F.col("size") < F.lit(centres * (1 << 30))
-        c = placed.where(chosen).select("bucket", F.col("id").alias("c_id"), F.col("n").alias("c_n"), F.col("of").alias("c_of"))
-        # a pair of two centres is looked at once
-        other = placed.withColumn("is_c", chosen)
-        more = other.join(c, "bucket").where((F.col("of") != F.col("c_of")) & alike("n", "c_n") & (~F.col("is_c") | (F.col("id") > F.col("c_id"))))
-        more = stored(more.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct(), "pairs")
-        found = confirmed(more)
-        links = stored(links.unionByName(found), "links")
-        labels = stored(connected_components(links), "labels")
-        open_buckets = placed.where(F.col("size") > centres).select("bucket", "id", "n", "size")
-        centres *= 16
+        finer = large.join(reps.select("id", F.explode("bands").alias("more")), "id").where("more <> bucket")
+        finer = of_several(finer.select(F.xxhash64("bucket", "more").alias("bucket"), "id", "of", F.lit(None).cast("long").alias("first")).distinct())
+        open_ = stored(open_.where(F.col("size") <= max_bucket).unionByName(finer), "open")
+    rows = stored(open_.join(known, "id"), "compared")
+    x, y = rows.alias("x"), rows.alias("y")
+    # a pair that shares several buckets is taken in the first of them
+    once = F.col("x.first").isNull() | (F.col("x.first") == F.array_min(F.array_intersect("x.bands", "y.bands")))
+    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.of") != F.col("y.of")) & (F.col("x.id") < F.col("y.id")) & _near("x", "y", percent) & once)
+    more = confirmed(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    labels = stored(connected_components(links.unionByName(more)), "labels")
 
     classes = reps.select(*key, F.col("id").alias("class_id")).join(labels, F.col("class_id") == F.col("node"), "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component"))
     out = sig.select("doc_id", *key).join(classes, key, "left")

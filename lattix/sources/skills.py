@@ -27,7 +27,8 @@ def parse_skill(text: str, vocabulary: set[str]) -> dict | None:
         return None
     declared = head.get("tools") or ([head["primary_tool"]] if head.get("primary_tool") else [])
     declared = [str(t).strip() for t in ([declared] if isinstance(declared, str) else declared) if str(t).strip()]
-    said = set(re.findall(r"[a-z0-9][a-z0-9_.+-]*", text[m.end() :].lower())) & vocabulary
+    words = re.findall(r"[a-z0-9][a-z0-9_.+-]*", text[m.end() :].lower())
+    said = {x for w in words for x in (w, w.rstrip(".-"))} & vocabulary
     return {
         "name": str(head["name"]), "description": str(head.get("description") or ""), "domain": str(head.get("domain") or ""),
         "primary_tool": declared[0] if declared else "", "tools": declared, "context_tools": sorted(said - {t.lower() for t in declared}),

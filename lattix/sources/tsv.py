@@ -27,7 +27,7 @@ def parse_ontology_table(spark: SparkSession, path: str, *, ingested_at: str, so
     for prefix, k in KINDS.items():
         kind = F.when(F.col("id").startswith(prefix), k).otherwise(kind)
     kept = rows.withColumn("id", uri_id(F.col("uri"))).withColumn("kind", kind).where("kind is not null and coalesce(gone, '') <> 'TRUE' and coalesce(name, '') <> ''")
-    names = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("syn", F.lit("")), r"\|"), F.trim), lambda x: x != "")))
+    names = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("syn", F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")))
     props = F.udf(lambda uri, s: canonical({"uri": uri, "synonyms": list(s)} if s else {"uri": uri}), "string")
     tail = [F.lit(source).alias("source"), F.col("uri").alias("source_url"), F.lit(ingested_at).alias("ingested_at")]
     entity = kept.select("id", "name", "kind", props("uri", names).alias("properties"), F.lit("").alias("bioconda_pkg"), F.lit("").alias("biotools_id"), *tail)

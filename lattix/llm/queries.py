@@ -76,4 +76,35 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_mixing, op4_url_filter, op5_quality_rules, op6_token_counts, op7_language_id, op8_lm_score, op9_nearest, op10_sentencepiece)}
-ORACLES: dict[str, str] = {"op3_mixing": mixing.TAKEN_SQL.format(docs="documents"), "op4_url_filter": urls.verdict_sql(URL_RULES, "pages")}
+_CHAT = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all
+  select * from (values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')) v),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from t),
+p as (select *, lag(role) over (partition by conv_id order by k) is distinct from role as opens, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') as shown from o)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(shown) + case when opens then 24 + length(role) else 10 end)::bigint as formatted_chars
+from p group by conv_id
+"""
+
+_NEARDUP = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0) x),
+n as (select doc_id, count(*) as n from s group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b, shared = x.n and shared = y.n as same from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select reach.doc_id, b from reach join links on a = other),
+c as (select doc_id, min(other) as component_id from reach group by 1),
+k as (select a as doc_id, min(b) as twin from links where same group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept, least(d.doc_id, coalesce(k.twin, d.doc_id)) as class_id
+from documents d join c using (doc_id) left join n using (doc_id) left join k using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_chat_format": _CHAT,
+    "op2_minhash_neardup": _NEARDUP,
+    "op3_mixing": mixing.TAKEN_SQL.format(docs="documents"),
+    "op4_url_filter": urls.verdict_sql(URL_RULES, "pages"),
+}

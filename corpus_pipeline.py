@@ -16,7 +16,7 @@ from lattix.llm.common import shared_dir, table
 from lattix.llm.queries import TOKENIZERS
 
 #: Texts whose language is nearer to a tie than this are rejected with those of no known language.
-LEAST_LANGUAGE_SCORE = 0.05
+LEAST_LANGUAGE_SCORE = 0.01
 
 
 def _columns(docs: DataFrame) -> list:

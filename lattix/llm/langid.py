@@ -32,7 +32,8 @@ _SIZES = (1, 2, 3, 4)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters; none in a text without a letter, though some numerals would count as parts of words."""
+    return _LETTERS.findall(text.lower()) if text and any(map(str.isalpha, text)) else []
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -30,11 +30,16 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lattix.llm.common import release_memory, small_batches
+
 MAX_PIECES = 1 << 20
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _PRIME = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+_FEW = np.uint64((1 << 20) - 1)
+#: Texts are encoded in lots of about so many characters.
+BATCH_CHARS = 2_500_000
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
 
 
@@ -49,8 +54,8 @@ class Pieces:
     scores: np.ndarray
     kinds: np.ndarray
     merges: bool  # a BPE model
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
-    older: dict[str, np.ndarray] = field(default_factory=dict)
+    cache: dict[str, bytes] = field(default_factory=dict)  # ids of chunks as the bytes of int32
+    older: dict[str, bytes] = field(default_factory=dict)
     pairs: dict[int, bool] = field(default_factory=dict)
 
     def __getstate__(self):
@@ -82,6 +87,8 @@ class Pieces:
         keys = np.array([self._key(t) for t in self.ids], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(list(self.ids.values()), np.int64)[order]
+        self.maybe = np.zeros(int(_FEW) + 1, bool)
+        self.maybe[self.keys & _FEW] = True
         self.bytes_ids = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == BYTE}
         self.known, self.known_valid = np.array([-1]), np.array([True])
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
@@ -131,7 +138,7 @@ class Pieces:
 
     def _remember(self) -> None:
         """Move the pairs met of late into the sorted arrays; start anew when there are very many."""
-        if len(self.known) > 4_000_000:
+        if len(self.known) > 1_500_000:
             self.known, self.known_valid = self.known[:1], self.known_valid[:1]
         keys = np.concatenate([self.known, np.fromiter(self.pairs, np.int64, len(self.pairs))])
         valid = np.concatenate([self.known_valid, np.fromiter(self.pairs.values(), bool, len(self.pairs))])
@@ -154,8 +161,11 @@ class Pieces:
         for i in range(1, n + 1):
             m = min(i, self.longest)
             keys = np.stack([_finished(h[i] - h[i - k] * np.uint64(powers[k]), k) for k in range(1, m + 1)])
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            piece = np.where(self.keys[at] == keys, self.key_ids[at], -1)
+            piece = np.full(keys.shape, -1, np.int64)
+            may = np.nonzero(self.maybe[keys & _FEW])  # most substrings are no pieces
+            some = keys[may]
+            at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+            piece[may] = np.where(self.keys[at] == some, self.key_ids[at], -1)
             there = piece >= 0
             there[0] = True  # a character alone is always possible
             value = np.full(piece.shape, -np.inf)
@@ -194,15 +204,17 @@ class Pieces:
         return [self.bytes_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        seen: dict[str, int] = {}
-        flat, counts = [], []
+        every: list[str] = []
+        counts = []
         for t in texts:
-            chunks = _CHUNK.findall(BLANK + t.replace(" ", BLANK)) if t else []
-            flat.extend(seen.setdefault(c, len(seen)) for c in chunks)
-            counts.append(len(chunks))
-        if not flat:
+            before = len(every)
+            if t:
+                every += _CHUNK.findall(BLANK + t.replace(" ", BLANK))
+            counts.append(len(every) - before)
+        if not every:
             return [np.empty(0, np.int32) for _ in texts]
-        if len(self.cache) > 300_000:  # chunks that come again move to the newer half
+        seen = {c: i for i, c in enumerate(dict.fromkeys(every))}
+        if len(self.cache) > 120_000:  # chunks that come again move to the newer half
             self.older, self.cache = self.cache, {}
         new: dict[int, list[str]] = {}
         for c in seen:
@@ -214,11 +226,11 @@ class Pieces:
         for n, words in new.items():
             step = max(1, 400_000 // n)
             for a in range(0, len(words), step):
-                self.cache.update(zip(words[a : a + step], self.viterbi(words[a : a + step]), strict=True))
+                self.cache.update(zip(words[a : a + step], map(bytes, self.viterbi(words[a : a + step])), strict=True))
         pool = [self.cache[c] for c in seen]
-        lens = np.fromiter(map(len, pool), np.int64, len(pool))
-        starts, ids = np.cumsum(lens) - lens, np.concatenate(pool)
-        index = np.array(flat)
+        lens = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
+        starts, ids = np.cumsum(lens) - lens, np.frombuffer(b"".join(pool), np.int32)
+        index = np.fromiter(map(seen.__getitem__, every), np.int64, len(every))
         n = lens[index]
         ends = np.cumsum(n)
         tokens = ids[np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(starts[index], n)]
@@ -236,26 +248,37 @@ class Pieces:
 
 def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str]) -> DataFrame:
     """The kept columns and n_tokens, ids and round_trip (whether the ids decode to the text)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_path))
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(keep, names, strict=True)), docs["text"].alias("text"))
 
+    def encoded(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        pieces, texts = shared.value, b.column(len(names))
+        start, size, held = 0, 0, []
+        for i, t in enumerate(texts):
+            held.append(t.as_py())
+            size += len(held[-1] or "")
+            if size >= BATCH_CHARS or i + 1 == b.num_rows:
+                ids = pieces.encode(held)
+                same = [pieces.decode(x) == (t or "") for x, t in zip(ids, held, strict=True)]
+                lens = np.fromiter(map(len, ids), np.int64, len(ids))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                kept = [b.column(k).slice(start, len(held)) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(lens), lists, pa.array(same)], [*names, "n_tokens", "ids", "round_trip"])
+                start, size, held = i + 1, 0, []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
+        # small batches are put together: the more new chunks of a length there are, the more advance together
+        waiting: list[pa.RecordBatch] = []
         for b in batches:
-            texts = b.column(len(names))
-            start, size, held = 0, 0, []
-            for i, t in enumerate(texts):
-                held.append(t.as_py())
-                size += len(held[-1] or "")
-                if size >= 6_000_000 or i + 1 == b.num_rows:
-                    ids = pieces.encode(held)
-                    same = [pieces.decode(x) == (t or "") for x, t in zip(ids, held, strict=True)]
-                    lens = np.fromiter(map(len, ids), np.int64, len(ids))
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                    kept = [b.column(k).slice(start, len(held)) for k in range(len(names))]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(lens), lists, pa.array(same)], [*names, "n_tokens", "ids", "round_trip"])
-                    start, size, held = i + 1, 0, []
+            waiting.append(b)
+            if sum(w.nbytes for w in waiting) >= BATCH_CHARS:
+                yield from encoded(pa.concat_batches(waiting))
+                waiting = []
+        if waiting:
+            yield from encoded(pa.concat_batches(waiting))
+        release_memory()
 
     fields = rows.select(*names).schema.add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
     out = rows.mapInArrow(run, fields)

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattix.llm.common import release_memory, small_batches
+
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -196,6 +198,7 @@ def fit(languages: list[str], counts: np.ndarray, smoothing: float = 0.5) -> Mod
 
 def predict_column(spark, model: Model):
     """A vectorised function of a text column: struct<lang_pred, score>.  The model's size is fixed by its parameters."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -205,6 +208,7 @@ def predict_column(spark, model: Model):
             n, s = shared.value.predict([t if isinstance(t, str) else None for t in values[a : a + 512]])
             names += n
             scores.append(s)
+        release_memory()
         return pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else np.zeros(0)})
 
     return predict

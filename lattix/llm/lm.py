@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import stored
-from lattix.llm.neardup import _hash_of, mixed
+from lattix.llm.common import release_memory, small_batches, stored
+from lattix.llm.neardup import _hash_of, _hashes, mixed
 
 MAX_BITS, SEGMENT_BITS, PROBES, BITS_PER_ENTRY = 1 << 28, 1 << 16, 4, 12
 TOP_WORDS = 1 << 19
@@ -84,6 +84,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = 0
     if held:
         yield from flush()
+    _hashes.clear()
+    release_memory()
 
 
 def counts_of(texts: DataFrame) -> DataFrame:
@@ -218,6 +220,7 @@ def score_documents(docs: DataFrame, trains: Column, *, top_words: int = TOP_WOR
     """Scores of (doc_id, text) rows by a model of the rows where ``trains`` holds: doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", (~F.coalesce(trains, F.lit(False))).alias("held_out"), "text")
     training = rows.where(~F.col("held_out"))
     counts = stored(counts_of(training), "counts")

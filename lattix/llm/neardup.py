@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import stored
+from lattix.llm.common import release_memory, small_batches, stored
 from lattix.llm.components import connected_components
 
 BINS, ROWS = 128, 4
@@ -47,13 +47,14 @@ class _Hashes(dict):
     """Hashes of the words seen by this worker; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_hash_of = _Hashes().__getitem__
+_hashes = _Hashes()
+_hash_of = _hashes.__getitem__
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -123,6 +124,8 @@ def _signatures(width: int):
                 [ids.cast(pa.int64()), pa.array(n, pa.int64()), as_long(f1), as_long(f2), pa.ListArray.from_arrays(offsets, pa.array(flat)), cells],
                 ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"],
             )
+        _hashes.clear()
+        release_memory()
 
     return run
 
@@ -172,6 +175,7 @@ def _near(a: str, b: str, percent: int) -> Column:
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id and kept."""
+    small_batches(docs.sparkSession)
     signed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(width), "doc_id long, n_shingles long, f1 long, f2 long, bands array<bigint>, sketch array<bigint>")
     sig = stored(signed, "signatures")
     usable = sig.where("doc_id is not null and n_shingles > 0")

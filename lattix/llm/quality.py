@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattix.llm.common import release_memory, small_batches
+
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_distinct_words", "n_lines", "n_upper", "n_digits", "n_marks"]
 STATISTICS = T.StructType([T.StructField(c, T.LongType()) for c in BASE + MORE])
@@ -73,7 +75,9 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 @F.pandas_udf(STATISTICS)
 def document_statistics(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure(t) for t in text], columns=BASE + MORE, dtype="int64")
+    out = pd.DataFrame([measure(t) for t in text], columns=BASE + MORE, dtype="int64")
+    release_memory()
+    return out
 
 
 def base_failed(s: str = "") -> Column:
@@ -226,6 +230,7 @@ def describe(rules: list[Rule]) -> list[str]:
 
 def judge(docs: DataFrame, rules: list[Rule], *, keep: list[str] | None = None) -> DataFrame:
     """The kept columns plus struct ``__q`` of statistics, ``__base_failed``, ``__rule`` and ``__kept``."""
+    small_batches(docs.sparkSession)
     out = docs.select(*(docs[f"`{c}`"] for c in keep or docs.columns), document_statistics("text").alias("__q"))
     out = out.withColumn("__base_failed", base_failed("__q.")).withColumn("__rule", rule_expression(rules, "__q."))
     return out.withColumn("__kept", ~F.col("__base_failed") & F.col("__rule").isNull())

@@ -10,10 +10,10 @@ overestimate needs a run of false positives and so gets exponentially unlikely.
 with the read counts, and a document's score is the sum of log10 p(w | v) over its tokens; before the first word
 stands the end token.
 
-The filter is cut into segments of 65,536 bits.  An n-gram has one segment, so segments are built independently, by
-tasks whose input the filter's size bounds, and the filter has at most ``MAX_BITS`` bits (32 MB), which bounds the
-broadcast.  It grows with the corpus until then; past that, the n-grams with the lowest quantised counts are left out,
-by a cutoff taken from the histogram of all quantised counts.
+The n-grams are dealt by hash to parts of about ``PART_TOKENS`` tokens, whose number grows with the corpus.  Each part has
+its own filter, as large as its n-grams need (cut into segments of 65,536 bits), so no count is left out and no task or
+broadcast holds the whole filter.  Texts are tokenised once into chunks of about a million tokens; a chunk sends its
+distinct n-grams to the parts, gets their counts back and is scored with these.
 
 Base scores are exact: counts of at most ``TOP_WORDS`` most frequent words are broadcast, tokens outside them
 are joined with the whole table of counts.  Words and pairs are keyed by 64-bit hashes.
@@ -25,20 +25,22 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattix.llm.common import release_memory, small_batches, stored
 from lattix.llm.neardup import _hash_of, _hashes, mixed
 
-MAX_BITS, SEGMENT_BITS, PROBES, BITS_PER_ENTRY = 1 << 28, 1 << 16, 4, 12
+SEGMENT_BITS, PROBES, BITS_PER_ENTRY = 1 << 16, 4, 12
+CHUNK_TOKENS, PART_TOKENS, LEAST_PARTS = 1_000_000, 1_000_000, 64
 TOP_WORDS = 1 << 19
 BASE, MU, ADD = 1.5, 4.0, 0.1
 END = xxhash.xxh3_64_intdigest(b" end")  # no word holds a blank
@@ -61,36 +63,105 @@ def pairs(t: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0xC2B2AE3D27D4EB4F) + t) | np.uint64(1)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and of pairs, summed over some millions of tokens before they leave the task."""
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as chunks of some tokens: ids, held_out and lens of the texts, the distinct words and the tokens' places in them."""
+    ids: list[int | None] = []
+    out_of: list[bool] = []
     held: list[np.ndarray] = []
     size = 0
 
     def flush():
-        flat = np.concatenate(held)
-        held.clear()
-        for pair, every in ((False, flat), (True, pairs(flat))):
-            keys, n = np.unique(every, return_counts=True)
-            for a in range(0, len(keys), 500_000):
-                part = keys[a : a + 500_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), pair)), pa.array(part), pa.array(n[a : a + 500_000])], ["pair", "key", "n"])
+        lens = pa.array([[len(t) for t in held]], pa.list_(pa.int32()))
+        words, at = np.unique(np.concatenate(held), return_inverse=True)
+        at = at.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+        columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([out_of], pa.list_(pa.bool_())), lens, pa.array([words.tobytes()]), pa.array([at.tobytes()])]
+        for x in (ids, out_of, held):
+            x.clear()
+        return pa.RecordBatch.from_arrays(columns, ["ids", "held_out", "lens", "words", "at"])
 
     for b in batches:
-        for t in b.column(0):
+        for i, o, t in zip(*b.columns, strict=True):
+            ids.append(i.as_py())
+            out_of.append(o.as_py())
             held.append(x := tokens(t.as_py()))
             size += len(x)
-            if size >= _FLUSH:
-                yield from flush()
+            if size >= CHUNK_TOKENS:
+                yield flush()
                 size = 0
     if held:
-        yield from flush()
+        yield flush()
     _hashes.clear()
     release_memory()
 
 
-def counts_of(texts: DataFrame) -> DataFrame:
-    """(pair, key, n) of all words and pairs."""
-    return texts.select("text").mapInArrow(_counted, "pair boolean, key long, n long").groupBy("pair", "key").agg(F.sum("n").alias("n"))
+def _flat(words: pa.Scalar, at: pa.Scalar, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a chunk and the places of its ``n`` tokens in them."""
+    raw = at.as_py()
+    return np.frombuffer(words.as_py(), np.uint64), np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(keys + np.uint64(0x165667B19E3779F9)) % np.uint64(parts)).astype(np.int64)
+
+
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, Iterator[tuple[int, int, int]]]:
+    """An order of the keys by part, and (part, start, end) of each part that has keys."""
+    of = _part(keys, parts)
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(parts + 1))
+    return order, ((p, int(edges[p]), int(edges[p + 1])) for p in np.flatnonzero(np.diff(edges)).tolist())
+
+
+def _counted(parts: int):
+    """Counts of the training texts' words and pairs by part, summed over some millions of tokens before they leave the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            flat = np.concatenate(held)
+            held.clear()
+            for pair, every in ((False, flat), (True, pairs(flat))):
+                keys, n = np.unique(every, return_counts=True)
+                order, spans = _dealt(keys, parts)
+                keys, n = keys[order], n[order].astype(np.uint32)
+                for p, a, b in spans:
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([pair]), pa.array([keys[a:b].tobytes()]), pa.array([n[a:b].tobytes()])], ["part", "pair", "keys", "n"])
+
+        for batch in batches:
+            for o, l, w, t in zip(*batch.columns, strict=True):  # noqa: E741
+                lens = np.array(l.as_py())
+                words, at = _flat(w, t, int(lens.sum()))
+                x = words[at[np.repeat(~np.array(o.as_py(), bool), lens)]]
+                if len(x):
+                    held.append(x)
+                    size += len(x)
+                if size >= _FLUSH:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+        release_memory()
+
+    return run
+
+
+def _summed(keys: list[bytes], n: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    every, back = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_inverse=True)
+    total = np.zeros(len(every), np.int64)
+    np.add.at(total, back, np.frombuffer(b"".join(n), np.uint32).astype(np.int64))
+    return every, total
+
+
+def _modelled(rows: pa.Table) -> pa.Table:
+    """A part's filter and the exact counts of its words."""
+    got = {pair: _summed(*(rows.filter(pc.equal(rows["pair"], pair))[c].to_pylist() for c in ("keys", "n"))) for pair in (False, True)}
+    (words, times), (two, times2) = got[False], got[True]
+    bits = filter_of(np.concatenate([words, two]), np.concatenate([times, times2]))
+    counts = pa.StructArray.from_arrays([pa.array(words.view(np.int64)), pa.array(times)], ["key", "n"])
+    counts = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), counts)
+    return pa.table({"part": rows["part"].slice(0, 1), "bits": pa.array([bits]), "words": counts})
 
 
 def quantised(n: Column) -> Column:
@@ -141,79 +212,86 @@ def read_levels(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def build_filter(ngrams: DataFrame) -> np.ndarray:
-    """The filter of stored (key, n) rows as bytes."""
-    levels = ngrams.select("key", quantised(F.col("n")).alias("q"))
-    histogram = levels.groupBy("q").agg(F.count("*").alias("n")).toPandas().sort_values("q", ascending=False)
-    entries = (histogram["q"].astype("int64") * histogram["n"]).cumsum().to_numpy()
-    fits = entries * BITS_PER_ENTRY <= MAX_BITS
-    if not fits.any():
-        return np.zeros(0, np.uint8)
-    cutoff = int(histogram["q"].to_numpy()[fits][-1])
-    segments = max(1, math.ceil(int(entries[fits][-1]) * BITS_PER_ENTRY / SEGMENT_BITS))
-    of = F.pandas_udf(lambda k: pd.Series(_segment(k.to_numpy().view(np.uint64), segments).astype(np.int64)), "long")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = segment_bits(pdf["key"].to_numpy().view(np.uint64), pdf["q"].to_numpy())
-        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "bits": [bits]})
-
-    kept = levels.where(F.col("q") >= cutoff).withColumn("segment", of("key"))
-    built = kept.groupBy("segment").applyInPandas(build, "segment long, bits binary")
-    out = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for row in built.toLocalIterator():  # at most MAX_BITS in all
-        a = row["segment"] * SEGMENT_BITS // 8
-        out[a : a + SEGMENT_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
+def filter_of(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """The filter of all these counts, as large as they need."""
+    q = np.floor(np.log(n) / math.log(BASE) + 1e-9).astype(np.int64) + 1
+    segments = max(1, math.ceil(int(q.sum()) * BITS_PER_ENTRY / SEGMENT_BITS))
+    of = _segment(keys, segments)
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(segments + 1, dtype=np.uint64))
+    return b"".join(segment_bits(keys[x], q[x]) for x in (order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)))
 
-def _scored(shared, n_train: int, n_distinct: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
-    below = n_train + ADD * (n_distinct + 1)
 
-    def one(ids: pa.Array, held_out: pa.Array, texts: list[np.ndarray], filter_, keys, counts) -> pa.RecordBatch:
-        lens = np.array([len(t) for t in texts])
-        flat = np.concatenate(texts)
-        starts = np.cumsum(lens) - lens
-        words, back = np.unique(flat, return_inverse=True)
-        at = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
-        found = keys[at] == words if len(keys) else np.zeros(len(words), bool)
-        exact = np.where(found, counts[at], 0) if len(keys) else np.zeros(len(words))
-        base = np.where(found, np.log10((exact + ADD) / below), 0.0)
-        read = count_of_level(read_levels(filter_, words))
-        p_word = (read + ADD) / below
-        two, back2 = np.unique(pairs(flat), return_inverse=True)
-        read2 = count_of_level(read_levels(filter_, two))[back2]
-        before = np.empty(len(flat))
-        before[0], before[1:] = count_of_level(read_levels(filter_, np.array([END], np.uint64)))[0], read[back[:-1]]
-        p = np.minimum((np.minimum(read2, before) + MU * p_word[back]) / (before + MU), 1.0)
-        rare = ~found[back]
-        n_rare = np.add.reduceat(rare.astype(np.int64), starts)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [
-                ids.cast(pa.int64()),
-                held_out,
-                pa.array(lens, pa.int64()),
-                pa.array(lens - n_rare, pa.int64()),
-                pa.array(np.add.reduceat(base[back], starts)),
-                pa.array(np.add.reduceat(np.log10(p), starts)),
-                pa.ListArray.from_arrays(offsets, pa.array(flat[rare].view(np.int64))),
-            ],
-            schema=schema,
-        )
+def _asked(parts: int):
+    """The distinct n-grams of each chunk by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, keys, counts = shared.value
-        for b in batches:
-            held, size, start = [], 0, 0
-            for i, t in enumerate(b.column(2)):
-                held.append(x := tokens(t.as_py()))
-                size += len(x)
-                if size >= 400_000 or i + 1 == b.num_rows:
-                    yield one(b.column(0).slice(start, len(held)), b.column(1).slice(start, len(held)), held, filter_, keys, counts)
-                    held, size, start = [], 0, i + 1
+        for batch in batches:
+            for chunk, l, w, t in zip(*batch.columns, strict=True):  # noqa: E741
+                words, at = _flat(w, t, sum(l.as_py()))
+                keys = np.concatenate([words, np.unique(pairs(words[at]))])
+                order, spans = _dealt(keys, parts)
+                keys = keys[order]
+                for p, a, b in spans:
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([chunk.as_py()], pa.int64()), pa.array([keys[a:b].tobytes()])], ["part", "chunk", "data"])
+        release_memory()
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Quantised counts of the n-grams asked for; a part's filter comes as its first row, without a chunk."""
+    part, filter_ = None, np.zeros(0, np.uint8)
+    for batch in batches:
+        for p, chunk, data in zip(*batch.columns, strict=True):
+            if p.as_py() != part:
+                part, filter_ = p.as_py(), np.zeros(0, np.uint8)
+            if not chunk.is_valid:
+                filter_ = np.frombuffer(data.as_py(), np.uint8)
+            else:
+                read = read_levels(filter_, np.frombuffer(data.as_py(), np.uint64)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([part], pa.int64()), pa.array([read.tobytes()])], ["chunk", "part", "levels"])
+    release_memory()
 
-    return run, schema
+
+def _scored(shared, parts: int, n_train: int, n_distinct: int):
+    below = n_train + ADD * (n_distinct + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, counts = shared.value
+        for batch in batches:
+            for ids, held_out, l, w, t, levels in zip(*batch.columns, strict=True):  # noqa: E741
+                lens = np.array(l.as_py())
+                starts = np.cumsum(lens) - lens
+                words, back = _flat(w, t, int(lens.sum()))
+                flat = words[back]
+                at = np.minimum(np.searchsorted(top, words), max(0, len(top) - 1))
+                found = top[at] == words if len(top) else np.zeros(len(words), bool)
+                exact = np.where(found, counts[at], 0) if len(top) else np.zeros(len(words))
+                base = np.where(found, np.log10((exact + ADD) / below), 0.0)
+                two, back2 = np.unique(pairs(flat), return_inverse=True)
+                every = np.empty(len(words) + len(two))
+                order, _ = _dealt(np.concatenate([words, two]), parts)
+                every[order] = count_of_level(np.frombuffer(b"".join(levels.as_py()), np.uint8).astype(np.int64))
+                read, read2 = every[: len(words)], every[len(words) :][back2]
+                p_word = (read + ADD) / below
+                before = np.empty(len(flat))
+                before[0], before[1:] = read[np.searchsorted(words, np.uint64(END))], read[back[:-1]]
+                p = np.minimum((np.minimum(read2, before) + MU * p_word[back]) / (before + MU), 1.0)
+                rare = ~found[back]
+                n_rare = np.add.reduceat(rare.astype(np.int64), starts)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32())
+                columns = [ids.values, held_out.values, pa.array(lens, pa.int64()), pa.array(lens - n_rare, pa.int64()), pa.array(np.add.reduceat(base[back], starts)), pa.array(np.add.reduceat(np.log10(p), starts))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(flat[rare].view(np.int64)))], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+        release_memory()
+
+    return run
+
+
+def _drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the files of shuffles that nothing refers to any more; else they stay until the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def score_documents(docs: DataFrame, trains: Column, *, top_words: int = TOP_WORDS) -> DataFrame:
@@ -221,22 +299,41 @@ def score_documents(docs: DataFrame, trains: Column, *, top_words: int = TOP_WOR
     n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", (~F.coalesce(trains, F.lit(False))).alias("held_out"), "text")
-    training = rows.where(~F.col("held_out"))
-    counts = stored(counts_of(training), "counts")
-    words = counts.where("not pair").select("key", "n")
-    n_train, n_distinct = (int(x or 0) for x in words.agg(F.sum("n"), F.count("*")).first())
-    levels = words.groupBy(quantised(F.col("n")).alias("q")).agg(F.count("*").alias("n")).toPandas().sort_values("q", ascending=False)
-    fits = levels["n"].cumsum().to_numpy() <= top_words
-    lowest = int(levels["q"].to_numpy()[fits][-1]) if fits.any() else 1_000
-    top = words.where(quantised(F.col("n")) >= lowest).toPandas()
-    keys = top["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    filter_ = build_filter(counts)
-    shared = spark.sparkContext.broadcast((filter_, keys[order], top["n"].to_numpy(np.int64)[order]))
-    run, _ = _scored(shared, n_train, n_distinct)
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<bigint>")
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    rows = docs.select(F.col("doc_id").cast("long"), (~F.coalesce(trains, F.lit(False))).alias("held_out"), "text")
+    chunked = rows.mapInArrow(_chunked, "ids array<bigint>, held_out array<boolean>, lens array<int>, words binary, at binary")
+    chunks = stored(chunked.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    size = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
+    parts = max(LEAST_PARTS, math.ceil(size / PART_TOKENS))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    batch_rows = spark.conf.get(key)
+    spark.conf.set(key, "4")  # chunks are large rows
+    try:
+        counted = chunks.select("held_out", "lens", "words", "at").mapInArrow(_counted(parts), "part long, pair boolean, keys binary, n binary")
+        model = stored(counted.groupBy("part").applyInArrow(_modelled, "part long, bits binary, words array<struct<key: bigint, n: bigint>>"), "model")
+        del counted
+        _drop_shuffles(spark)
+        words = model.select(F.inline("words"))
+        n_train, n_distinct = (int(x or 0) for x in words.agg(F.sum("n"), F.count("*")).first())
+        levels = words.groupBy(quantised(F.col("n")).alias("q")).agg(F.count("*").alias("n")).toPandas().sort_values("q", ascending=False)
+        fits = levels["n"].cumsum().to_numpy() <= top_words
+        lowest = int(levels["q"].to_numpy()[fits][-1]) if fits.any() else 1_000
+        top = words.where(quantised(F.col("n")) >= lowest).toPandas()
+        keys = top["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        shared = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy(np.int64)[order]))
+        asked = chunks.select("chunk", "lens", "words", "at").mapInArrow(_asked(parts), "part long, chunk long, data binary")
+        asked = model.select("part", F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("data")).unionByName(asked)
+        asked = asked.repartition("part").sortWithinPartitions("part", F.col("chunk").asc_nulls_first())
+        answers = stored(asked.mapInArrow(_answered, "chunk long, part long, levels binary"), "answers")
+        del asked
+        _drop_shuffles(spark)
+        answers = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "levels")))["levels"].alias("levels"))
+        run = _scored(shared, parts, n_train, n_distinct)
+        answered = chunks.join(answers, "chunk").select("ids", "held_out", "lens", "words", "at", "levels")
+        scored = answered.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<bigint>")
+        scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    finally:
+        spark.conf.set(key, batch_rows)
     below = n_train + ADD * (n_distinct + 1)
     rest = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     c = F.coalesce("n", F.lit(0))

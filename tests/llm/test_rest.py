@@ -107,6 +107,27 @@ def test_filter_reads_back_levels():
     assert (lm.read_levels(filter_, rng.integers(1, 2**63, 3000).astype(np.uint64)) > 0).mean() < 0.05
 
 
+def test_no_ngram_is_dropped(spark, monkeypatch):
+    """Scores follow from the quantised counts of all n-grams, however many there are."""
+    monkeypatch.setattr(lm, "MAX_BITS", 1 << 16, raising=False)
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 500, raising=False)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(60))) for i in range(300)]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") % 10 != 0).collect()
+    texts = {i: [*t.split(), "<end>"] for i, t in rows}
+    c, pairs = Counter(), Counter()
+    for i, t in texts.items():
+        if i % 10:
+            c.update(t)
+            pairs.update(zip(["<end>", *t], t, strict=False))
+    n, v = sum(c.values()), len(c)
+    near = lambda k: float(lm.count_of_level(np.array([math.floor(math.log(k, lm.BASE) + 1e-9) + 1 if k else 0]))[0])
+    p = lambda w: (near(c[w]) + lm.ADD) / (n + lm.ADD * (v + 1))
+    want = {i: sum(math.log10(min(1, (min(near(pairs[a, b]), near(c[a])) + lm.MU * p(b)) / (near(c[a]) + lm.MU))) for a, b in zip(["<end>", *t], t, strict=False)) for i, t in texts.items()}
+    away = [abs(r["score"] - want[r["doc_id"]]) / r["n_tokens"] for r in got]
+    assert len(away) == 300 and np.median(away) < 0.01 and max(away) < 0.2
+
+
 # ---- nearest neighbours
 
 

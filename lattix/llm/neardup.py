@@ -11,8 +11,9 @@ bins, which is the optimal densification.  Bands of four bins are the bucket key
    confirmed on full sets, and confirmed pairs joined to components.
 4. A star can miss a link between two members that are both too far from its centre, which matters only where a
    bucket still holds several components.  In such buckets, and across components only, all members are compared by
-   sketch and those pairs that pass are confirmed in turn.  Buckets of more than ``MAX_BUCKET`` members are first cut
-   finer, by each further band that members share, so this work is bounded by members times ``MAX_BUCKET``.
+   sketch and those pairs that pass are confirmed in turn.  The members of a bucket's largest component and the
+   others are dealt to blocks of about ``MAX_BUCKET`` members by their ids; every two blocks meet, but no two of the
+   largest component, so all pairs across components are compared and no group of work is larger than two blocks.
 
 With 32 bands of four bins a pair at similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 = 5e-6.
 Sets are compared by 64-bit hashes of shingles.
@@ -202,25 +203,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, max_b
     links = stored(confirmed(stars.where(_near("x", "y", percent)).select("a", "b")), "links")
     labels = stored(connected_components(links), "labels")
 
-    def of_several(rows: DataFrame) -> DataFrame:
-        """The members of buckets that hold more than one component."""
-        sums = rows.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
-        return rows.join(sums, "bucket")
-
     placed = members.select("bucket", "id").join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("of"))
-    open_ = stored(of_several(placed).withColumn("first", F.col("bucket")), "open")
-    for _ in range(3):
-        large = open_.where(F.col("size") > max_bucket)
-        if large.isEmpty():
-            break
-        finer = large.join(reps.select("id", F.explode("bands").alias("more")), "id").where("more <> bucket")
-        finer = of_several(finer.select(F.xxhash64("bucket", "more").alias("bucket"), "id", "of", F.lit(None).cast("long").alias("first")).distinct())
-        open_ = stored(open_.where(F.col("size") <= max_bucket).unionByName(finer), "open")
-    rows = stored(open_.join(known, "id"), "compared")
+    # the buckets that hold more than one component, and the largest one in each
+    sums = placed.groupBy("bucket", "of").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.count("*").alias("several"), F.max(F.struct("m", "of")).alias("main"), F.sum("m").alias("size")).where("several > 1")
+    first = F.ceil(F.col("main.m") / max_bucket).cast("int")
+    rest = F.ceil((F.col("size") - F.col("main.m")) / max_bucket).cast("int")
+    open_ = placed.join(sums.select("bucket", F.col("main.of").alias("main"), first.alias("first"), rest.alias("rest")), "bucket").join(known, "id")
+    block = F.when(F.col("of") == F.col("main"), F.pmod(F.hash("id"), "first")).otherwise(F.col("first") + F.pmod(F.hash("id"), "rest"))
+    rows = stored(open_.withColumn("block", block), "compared")
+    others = F.sequence(F.when(F.col("of") == F.col("main"), F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)
+    rows = rows.withColumn("other", F.explode(others))
     x, y = rows.alias("x"), rows.alias("y")
+    together = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.other")) & (F.col("x.other") == F.col("y.block"))
     # a pair that shares several buckets is taken in the first of them
-    once = F.col("x.first").isNull() | (F.col("x.first") == F.array_min(F.array_intersect("x.bands", "y.bands")))
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.of") != F.col("y.of")) & (F.col("x.id") < F.col("y.id")) & _near("x", "y", percent) & once)
+    once = F.col("x.bucket") == F.array_min(F.array_intersect("x.bands", "y.bands"))
+    across = x.join(y, together & (F.col("x.of") != F.col("y.of")) & (F.col("x.id") < F.col("y.id")) & _near("x", "y", percent) & once)
     more = confirmed(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     labels = stored(connected_components(links.unionByName(more)), "labels")
 

@@ -59,6 +59,34 @@ def test_large_buckets_are_cut_finer(spark):
     assert sum(got[i] != truth[i] for i in truth) <= 1  # finer buckets trade a little recall
 
 
+def test_large_buckets_lose_no_pair(spark):
+    """Components are those of all pairs that share a band and reach the threshold, whatever the buckets' sizes."""
+    rng = random.Random(11)
+    passages = [[f"p{k}_{i}" for i in range(20)] for k in range(10)]
+    rows = [(i, " ".join(w for k in sorted(rng.sample(range(10), rng.randrange(2, 6))) for w in passages[k]) + f" u{i} v{i}") for i in range(150)]
+    sets = {i: neardup.shingles(t) for i, t in rows}
+    keys = {i: set(neardup.bands(s).tolist()) for i, s in sets.items()}
+    elements = {i: set(s.tolist()) for i, s in sets.items()}
+    for percent in (45, 60, 70):
+        at = {i: i for i in sets}
+
+        def find(x, at=at):
+            while at[x] != x:
+                x = at[x]
+            return x
+
+        for i in sets:
+            for j in range(i):
+                a, b = elements[i], elements[j]
+                if keys[i] & keys[j] and 100 * len(a & b) >= percent * len(a | b):
+                    x, y = find(i), find(j)
+                    at[max(x, y)] = min(x, y)
+        for max_bucket in (2, 4096):
+            df = spark.createDataFrame(rows, "doc_id bigint, text string")
+            got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, percent=percent, max_bucket=max_bucket).collect()}
+            assert got == {i: find(i) for i in sets}, (percent, max_bucket)
+
+
 def test_odd_rows(odd_documents, no_documents):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(odd_documents).collect()]
     assert len(got) == 12

@@ -421,9 +421,9 @@ def _(spark, d):
 # ---- scoring
 
 
-def sequences(spark: SparkSession, d: str, odd: int) -> DataFrame:
-    """(item, pos, method_id): the distinct parts of every 16th order, of odd or even line numbers, in order."""
-    line = star(spark, d, "lineitem").where(f"l_orderkey % 16 = 0 and (l_linenumber + {odd}) % 3 > 0")
+def sequences(spark: SparkSession, d: str, odd: int, every: int = 16) -> DataFrame:
+    """(item, pos, method_id): the distinct parts of every 16th order, as in the SQL, of odd or even line numbers, in order."""
+    line = star(spark, d, "lineitem").where(f"l_orderkey % {every} = 0 and (l_linenumber + {odd}) % 3 > 0")
     x = line.groupBy(text("l_orderkey").alias("item"), F.concat(F.lit("m:"), text("l_partkey")).alias("method_id")).agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("at"))
     return x.select("item", (F.row_number().over(Window.partitionBy("item").orderBy("at")) - 1).alias("pos"), "method_id")
 
@@ -461,7 +461,7 @@ def _(spark, d):
 
 @register("e3_selection_matched")
 def _(spark, d):
-    g, p = sequences(spark, d, 0), sequences(spark, d, 1)
+    g, p = sequences(spark, d, 0, 1), sequences(spark, d, 1, 1)
     o = E.oracle(*graph(spark, d))
     return E.selection(g, p, E.matched(g, p, E.equivalence_pairs(o["operations"], o["inputs"]).where("a like '%4' and b like '%4'")))
 

@@ -86,7 +86,20 @@ def pairs_by_operation_and_input(operations: DataFrame, inputs: DataFrame, bridg
 def matched(gold: DataFrame, predicted: DataFrame, same: DataFrame) -> DataFrame:
     """(item, gold_pos, pred_pos) of a largest matching per item; ``same`` holds equivalent (a, b)."""
     near = gold.select("item", F.col("method_id").alias("a")).join(same.select("a", "b").union(same.select("b", "a")), "a")
-    near = near.join(predicted.select("item", F.col("method_id").alias("b")), ["item", "b"]).groupBy("item").agg(F.collect_set(F.struct("a", "b")).alias("same"))
+    return _matching(gold, predicted, near.join(predicted.select("item", F.col("method_id").alias("b")), ["item", "b"]))
+
+
+def matched_by_class(gold: DataFrame, predicted: DataFrame, operations: DataFrame, inputs: DataFrame, bridging: Iterable[str] = BRIDGING) -> DataFrame:
+    """``matched`` with the pairs of ``equivalence_pairs``, of which only those within an item are made: its methods meet
+    on the (operation, input) classes they belong to."""
+    used = gold.select("method_id").union(predicted.select("method_id")).distinct()
+    classes = operations.select("method_id", "op").where(~F.col("op").isin(list(bridging))).distinct().join(inputs.select("method_id", "data").distinct(), "method_id").join(used, "method_id", "left_semi")
+    of = lambda df, n: df.select("item", "method_id").distinct().join(classes, "method_id").select("item", "op", "data", F.col("method_id").alias(n))
+    return _matching(gold, predicted, of(gold, "a").join(of(predicted, "b"), ["item", "op", "data"]).where("a <> b"))
+
+
+def _matching(gold: DataFrame, predicted: DataFrame, near: DataFrame) -> DataFrame:
+    near = near.groupBy("item").agg(F.collect_set(F.struct("a", "b")).alias("same"))
     listed = lambda df, n: df.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "method_id"))), lambda s: s["method_id"]).alias(n))
     rows = listed(gold, "gold").join(listed(predicted, "pred"), "item").join(near, "item", "left")
 

@@ -463,7 +463,7 @@ def _(spark, d):
 def _(spark, d):
     g, p = sequences(spark, d, 0, 1), sequences(spark, d, 1, 1)
     o = E.oracle(*graph(spark, d))
-    return E.selection(g, p, E.matched(g, p, E.equivalence_pairs(o["operations"], o["inputs"]).where("a like '%4' and b like '%4'")))
+    return E.selection(g, p, E.matched_by_class(g, p, o["operations"], o["inputs"]))
 
 
 @register(

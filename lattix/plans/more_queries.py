@@ -128,8 +128,7 @@ def _(spark, d):
 @register("g6_matching")
 def _(spark, d):
     o = E.oracle(*graph(spark, d))
-    same = E.equivalence_pairs(o["operations"], o["inputs"]).where("a like '%4' and b like '%4'")
-    return E.matched(sequences(spark, d, 0, 1), sequences(spark, d, 1, 1), same)
+    return E.matched_by_class(sequences(spark, d, 0, 1), sequences(spark, d, 1, 1), o["operations"], o["inputs"])
 
 
 @register("e11_rescore")

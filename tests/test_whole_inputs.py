@@ -4,13 +4,37 @@ import os
 
 import pytest
 
+from lattix.functions import kernels
+from lattix.operators import evalkit as E
 from lattix.plans import catalog
-from lattix.plans.bridge import star
+from lattix.plans.bridge import graph, star
+from lattix.plans.build_queries import sequences
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 
+def test_matchings_of_all_orders_and_methods(spark):
+    g, p = sequences(spark, SF, 0, 1), sequences(spark, SF, 1, 1)
+    o = E.oracle(*graph(spark, SF))
+    same = E.equivalence_pairs(o["operations"], o["inputs"]).collect()
+    pairs = {(r["a"], r["b"]) for r in same} | {(r["b"], r["a"]) for r in same}
+    listed = [{}, {}]
+    for by, df in zip(listed, (g, p), strict=True):
+        for r in df.orderBy("item", "pos").collect():
+            by.setdefault(r["item"], []).append(r["method_id"])
+    want = set()
+    for item in listed[0].keys() & listed[1].keys():
+        a, b = listed[0][item], listed[1][item]
+        want |= {(item, i, j) for i, j in kernels.match_steps(a, b, {(x, y) for x in a for y in b if (x, y) in pairs}).items()}
+    assert {tuple(r) for r in catalog.QUERIES["g6_matching"](spark, SF).collect()} == want
+    hits = {}
+    for item, _, _ in want:
+        hits[item] = hits.get(item, 0) + 1
+    got = {r["item"]: r["recall"] for r in catalog.QUERIES["e3_selection_matched"](spark, SF).collect()}
+    assert got == pytest.approx({i: hits.get(i, 0) / len(s) for i, s in listed[0].items()})
+
+
 def test_rescoring_takes_all_orders(spark):
     n = star(spark, SF, "lineitem").select("l_orderkey").distinct().count()
     assert [r["n"] for r in catalog.QUERIES["e11_rescore"](spark, SF).collect()] == [n]

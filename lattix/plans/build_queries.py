@@ -575,7 +575,7 @@ def _(spark, d):
 def charts(spark: SparkSession, d: str) -> DataFrame:
     """Users' event kinds as flow charts, one node per event."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    x = star(spark, d, "events").select("user_id", "event_type", F.row_number().over(w).alias("n")).where("n <= 6")
+    x = star(spark, d, "events").select("user_id", "event_type", F.row_number().over(w).alias("n"))
     line = F.when(F.col("n") > 1, F.format_string("v%d([%s])\nv%d --> v%d\n", "n", "event_type", F.col("n") - 1, "n")).otherwise(F.format_string("v%d([%s])\n", "n", "event_type"))
     x = x.select("user_id", F.struct("n", line.alias("line")).alias("s")).groupBy(text("user_id").alias("item")).agg(F.array_sort(F.collect_list("s")).alias("s"))
     return x.select("item", F.concat(F.lit("flowchart TB\n"), F.array_join(F.col("s.line"), "")).alias("text"))
@@ -620,7 +620,7 @@ def _(spark, d):
     from lattix.functions.text import parse_answer
 
     c = star(spark, d, "conversations")
-    said = F.concat(F.lit("I would use "), F.to_json(F.slice(F.split("text", " "), 1, 3)), F.lit(" [and more"))
+    said = F.concat("text", F.lit(" I would use "), F.to_json(F.split("text", " ")), F.lit(" [and more"))
     return c.select("conv_id", "turn", F.array_join(parse_answer(said), "|").alias("names"))
 
 

@@ -30,8 +30,10 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lattix")
     p.add_argument("--graph", required=True)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("query", "methods"):
-        sub.add_parser(name).add_argument("keywords", nargs="*")
+    q = sub.add_parser("query")
+    q.add_argument("keywords", nargs="*")
+    q.add_argument("--k-hops", type=int, default=1)
+    sub.add_parser("methods").add_argument("keywords", nargs="*")
     s = sub.add_parser("suggest")
     s.add_argument("frontier", nargs="+")
     s.add_argument("--limit", type=int, default=10)
@@ -48,8 +50,8 @@ def main(argv: list[str] | None = None) -> int:
     graph = MethodsGraph.open(SparkSession.builder.getOrCreate(), a.graph)
     show = lambda df: [print(json.dumps(r.asDict(recursive=True))) for r in df.toLocalIterator()]
     if a.command == "query":
-        ids = [r["id"] for r in graph.resolve_method_ids(a.keywords).orderBy("ord").limit(20).collect()]
-        print(graph.retrieve_context(ids))
+        for line in graph.context_lines(graph.resolve_method_ids(a.keywords), a.k_hops):
+            print(line)
     elif a.command == "methods":
         show(graph.resolve_method_ids(a.keywords).orderBy("ord") if a.keywords else graph.catalogue().orderBy("method_id"))
     elif a.command == "suggest":

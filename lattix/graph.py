@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,12 @@ class MethodsGraph:
         """The text around some nodes; empty without seeds.  The seeds bound its size."""
         if not ids:
             return ""
-        return "\n".join(r["line"] for r in traverse.context_text(self.entity, self.rel, self._ids(ids), k).orderBy("ord").toLocalIterator())
+        return "\n".join(self.context_lines(self._ids(ids), k))
+
+    def context_lines(self, seeds: DataFrame, k: int = 1) -> Iterator[str]:
+        """The lines of the text around the nodes of a table (id), one by one."""
+        lines = traverse.context_text(self.entity, self.rel, seeds.select("id"), k).orderBy("ord")
+        return (r["line"] for r in lines.toLocalIterator())
 
     def neighbourhood(self, method_id: str) -> DataFrame:
         self._known(method_id)

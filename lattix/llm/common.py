@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +15,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of one call of a Python function at most, and bytes of text after which a smaller lot ends.
+LOT_ROWS, LOT_BYTES = 512, 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """This application's folder below ``spark.checkpoint.dir``.  A temporary one serves only where that is unset and all
+    of Spark runs on this machine; elsewhere executors would write where nobody else can read."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lattix-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -31,15 +41,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder as Parquet and read it back: column pruning and sizes stay known."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Send texts to Python workers in batches of at most so many rows, for this session: their size bounds the workers'
-    memory, and texts are long."""
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "_stored_at", None):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def lots(column: pa.Array, rows: int = LOT_ROWS, size: int = LOT_BYTES) -> Iterator[tuple[int, list]]:
+    """A text column as (start, values) lots of bounded rows and bytes, so that few texts are Python objects at a time; a
+    text that is larger than a lot is one by itself."""
+    start, held, n = 0, [], 0
+    for i, x in enumerate(column):
+        held.append(x.as_py())
+        n += len(held[-1] or "")
+        if len(held) >= rows or n >= size:
+            yield start, held
+            start, held, n = i + 1, [], 0
+    if held:
+        yield start, held
+
+
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows while a table is written; the session's own setting comes back after it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def release_memory() -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import stored
+from lattix.llm.common import remove, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,4 +30,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         moved = large.join(low, large["u"] == low["k"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        now = stored(small, "edges")
+        last, now = now, stored(small, "edges")
+        remove(last)

@@ -10,10 +10,12 @@ bins, which is the optimal densification.  Bands of four bins are the bucket key
    the symmetric difference) shows to be too far apart, by five standard deviations, are left out; the others are
    confirmed on full sets, and confirmed pairs joined to components.
 4. A star can miss a link between two members that are both too far from its centre, which matters only where a
-   bucket still holds several components.  In such buckets, and across components only, all members are compared by
-   sketch and those pairs that pass are confirmed in turn.  The members of a bucket's largest component and the
-   others are dealt to blocks of about ``MAX_BUCKET`` members by their ids; every two blocks meet, but no two of the
-   largest component, so all pairs across components are compared and no group of work is larger than two blocks.
+   bucket still holds several components.  The documents of such buckets, however large these are, are joined exactly,
+   by prefixes: shingles that occur in one component only come first, then the others from the rarest on, and two
+   documents of different components can be linked only if they share one of their first n - ceil(t * n) + 1.  A
+   document with fewer than t * n shingles in common with other components meets nobody.  Where one shingle still
+   brings very many together, its members are dealt to blocks of about ``MAX_GROUP`` (those of its largest component
+   apart, as they need no pairs among themselves), so no group of work is larger than two blocks.
 
 With 32 bands of four bins a pair at similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 = 5e-6.
 Sets are compared by 64-bit hashes of shingles.
@@ -34,14 +36,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import release_memory, small_batches, stored
+from lattix.llm.common import batch_rows, lots, release_memory, remove, stored
 from lattix.llm.components import connected_components
 
 BINS, ROWS = 128, 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _ORDERS = np.argsort(np.random.default_rng(2017).random((BINS, BINS)), axis=1)  # every bin's own order of all bins
-FILTER_BITS = 1 << 24
-CELLS, MAX_BUCKET = 1_024, 4_096
+CELLS, MAX_GROUP = 1_024, 4_096
+#: Up to so many documents are pointed out to the scan by a bitmap (8 bits each, so 8 MB); more are joined.
+MAX_ASKED = 1 << 23
+#: Members that meet one copy of their centre's set.
+LOT_MEMBERS = 256
 
 
 class _Hashes(dict):
@@ -132,34 +137,74 @@ def _signatures(width: int):
 
 
 def _sets(shared, width: int):
-    """Sets of the documents whose ids may be asked for, by a bitmap of fixed size; a join leaves the right ones."""
+    """(id, set) of (id, bit, text) rows whose bit is set in the shared bitmap; of all rows without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        bitmap = shared.value if shared else None
         for batch in batches:
-            bit = batch.column(1).to_numpy(zero_copy_only=False)
-            asked = np.flatnonzero((bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
-            for a in range(0, len(asked), 500):
-                some = pa.array(asked[a : a + 500])
-                sets = [shingles(t.as_py(), width).view(np.int64) for t in batch.column(2).take(some)]
+            if bitmap is not None:
+                bit = batch.column(1).to_numpy(zero_copy_only=False)
+                batch = batch.take(pa.array(np.flatnonzero((bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))))
+            ids = batch.column(0).cast(pa.int64())
+            for start, texts in lots(batch.column(2)):
+                sets = [shingles(t, width).view(np.int64) for t in texts]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(some).cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["id", "set"])
+        _hashes.clear()
 
     return run
 
 
 def _asked_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, set) of the documents listed in ``ids`` (column id); only their sets are shuffled."""
+    """(id, set) of the documents listed in ``ids`` (column id, distinct).  Up to ``MAX_ASKED`` of them are marked in a
+    bitmap, so that few other sets are made and shuffled; beyond that, the texts are joined with the ids."""
     spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    n = ids.count()
+    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    if n > MAX_ASKED:
+        texts = source.join(ids, "id", "left_semi").select("id", F.lit(0).cast("long").alias("bit"), "text")
+        return texts.mapInArrow(_sets(None, width), "id long, set array<bigint>").dropDuplicates(["id"])
+    bits = 1 << max(20, (8 * n - 1).bit_length())
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
     words = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
-    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
+    bitmap = np.zeros(bits // 64, np.uint64)
     bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").select("id", bit.alias("bit"), "text")
-    sets = source.mapInArrow(_sets(spark.sparkContext.broadcast(bitmap), width), "id long, set array<bigint>")
+    sets = source.select("id", bit.alias("bit"), "text").mapInArrow(_sets(spark.sparkContext.broadcast(bitmap), width), "id long, set array<bigint>")
     return sets.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
+def _meeting(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The linked (a, b); rows (a, lot, b, set) come in order, a lot's first one without b and with the set of a."""
+        centre = np.empty(0, np.uint64)
+        for batch in batches:
+            found = []
+            for a, _, b, s in zip(*batch.columns, strict=True):
+                own = s.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                if not b.is_valid:
+                    centre = own
+                    continue
+                at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+                both = int((centre[at] == own).sum())
+                if 100 * both >= percent * (len(centre) + len(own) - both):
+                    found.append((a.as_py(), b.as_py()))
+            x, y = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of distinct ``pairs`` that reach the threshold on full sets.  The members of a centre come to it in lots
+    by their ids, with one copy of the centre's set for each lot and not for each pair."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / LOT_MEMBERS).cast("int").alias("lots"))
+    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "lots").cast("int").alias("lot"), "b")
+    members = members.join(sets.select(F.col("id").alias("b"), "set"), "b").select("a", "lot", "b", "set")
+    centres = sizes.join(sets.select(F.col("id").alias("a"), "set"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(None).cast("long").alias("b"), "set")
+    rows = centres.unionByName(members).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(_meeting(percent), "a long, b long")
+
+
 def _near(a: str, b: str, percent: int) -> Column:
     """Whether two rows (n, sketch) can reach the threshold: by their sizes, exactly, and by their sketches.  At the
     threshold the symmetric difference has d = (na + nb) * (1 - t) / (1 + t) elements; the parities that it turns odd
@@ -174,9 +219,38 @@ def _near(a: str, b: str, percent: int) -> Column:
     return sizes & (odd <= m / 2 * (1 - one) + 5 * F.sqrt(F.greatest(variance, F.lit(0.0))) + 2)
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def _prefixes(sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """(s, id, of): the shingles on which documents of different components (id, of) must meet if they are to be linked."""
+    each = sets.join(of, "id").select("id", "of", F.size("set").alias("n"), F.explode("set").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("df"), F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("s", "df")
+    own = each.join(shared, "s").groupBy("id", "of", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("common"))
+    need = F.ceil(F.col("n") * percent / 100).cast("int")
+    own = own.withColumn("len", F.size("common") - need + 1).where("len > 0")
+    return own.select("id", "of", F.explode(F.slice("common", F.lit(1), F.col("len"))).alias("c")).select("c.s", "id", "of")
+
+
+def _across(rows: DataFrame, known: DataFrame, percent: int, max_group: int) -> DataFrame:
+    """The (a, b), a < b, of different components that meet on an s and whose sketches are near."""
+    sums = rows.groupBy("s", "of").agg(F.count("*").alias("m")).groupBy("s").agg(F.count("*").alias("several"), F.max(F.struct("m", "of")).alias("main"), F.sum("m").alias("size")).where("several > 1")
+    first = F.ceil(F.col("main.m") / max_group).cast("int")
+    rest = F.ceil((F.col("size") - F.col("main.m")) / max_group).cast("int")
+    x = rows.join(sums.select("s", F.col("main.of").alias("main"), first.alias("first"), rest.alias("rest")), "s").join(known, "id")
+    block = F.when(F.col("of") == F.col("main"), F.pmod(F.hash("id"), "first")).otherwise(F.col("first") + F.pmod(F.hash("id"), "rest"))
+    others = F.sequence(F.when(F.col("of") == F.col("main"), F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)
+    x = stored(x.withColumn("block", block), "compared").withColumn("other", F.explode(others))
+    a, b = x.alias("x"), x.alias("y")
+    together = (F.col("x.s") == F.col("y.s")) & (F.col("x.block") == F.col("y.other")) & (F.col("x.other") == F.col("y.block"))
+    pairs = a.join(b, together & (F.col("x.of") != F.col("y.of")) & (F.col("x.id") < F.col("y.id")) & _near("x", "y", percent))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, max_group: int = MAX_GROUP) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id and kept."""
-    small_batches(docs.sparkSession)
+    with batch_rows(docs.sparkSession, 1_000):
+        return _near_duplicates(docs, width, percent, max_group)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int, max_group: int) -> DataFrame:
     signed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(width), "doc_id long, n_shingles long, f1 long, f2 long, bands array<bigint>, sketch array<bigint>")
     sig = stored(signed, "signatures")
     usable = sig.where("doc_id is not null and n_shingles > 0")
@@ -186,40 +260,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, max_b
     spread = reps.select(F.explode("bands").alias("bucket"), "id")
     crowded = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1")
     members = stored(spread.join(crowded, "bucket"), "members")
-    known = reps.select("id", F.col("n_shingles").alias("n"), "sketch", "bands")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that reach the threshold on full sets."""
-        pairs = stored(pairs, "pairs")
-        sets = _asked_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
-        sets = stored(sets, "sets")
-        x = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        x = x.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        x = x.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
-        return x.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
+    known = reps.select("id", F.col("n_shingles").alias("n"), "sketch")
 
     stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(known.alias("x"), F.col("a") == F.col("x.id")).join(known.alias("y"), F.col("b") == F.col("y.id"))
-    links = stored(confirmed(stars.where(_near("x", "y", percent)).select("a", "b")), "links")
+    stars = stored(stars.where(_near("x", "y", percent)).select("a", "b"), "pairs")
+    asked = stored(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+    sets = stored(_asked_sets(docs, asked, width), "sets")
+    links = stored(_linked(stars, sets, percent), "links")
+    remove(stars, asked, sets)
     labels = stored(connected_components(links), "labels")
 
     placed = members.select("bucket", "id").join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("of"))
-    # the buckets that hold more than one component, and the largest one in each
-    sums = placed.groupBy("bucket", "of").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.count("*").alias("several"), F.max(F.struct("m", "of")).alias("main"), F.sum("m").alias("size")).where("several > 1")
-    first = F.ceil(F.col("main.m") / max_bucket).cast("int")
-    rest = F.ceil((F.col("size") - F.col("main.m")) / max_bucket).cast("int")
-    open_ = placed.join(sums.select("bucket", F.col("main.of").alias("main"), first.alias("first"), rest.alias("rest")), "bucket").join(known, "id")
-    block = F.when(F.col("of") == F.col("main"), F.pmod(F.hash("id"), "first")).otherwise(F.col("first") + F.pmod(F.hash("id"), "rest"))
-    rows = stored(open_.withColumn("block", block), "compared")
-    others = F.sequence(F.when(F.col("of") == F.col("main"), F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)
-    rows = rows.withColumn("other", F.explode(others))
-    x, y = rows.alias("x"), rows.alias("y")
-    together = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.other")) & (F.col("x.other") == F.col("y.block"))
-    # a pair that shares several buckets is taken in the first of them
-    once = F.col("x.bucket") == F.array_min(F.array_intersect("x.bands", "y.bands"))
-    across = x.join(y, together & (F.col("x.of") != F.col("y.of")) & (F.col("x.id") < F.col("y.id")) & _near("x", "y", percent) & once)
-    more = confirmed(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    several = placed.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("bucket")
+    open_ = stored(placed.join(several, "bucket", "left_semi").select("id", "of").distinct(), "open")
+    sets = stored(_asked_sets(docs, open_.select("id"), width), "sets")
+    pairs = stored(_across(_prefixes(sets, open_, percent), known, percent, max_group), "pairs")
+    more = stored(_linked(pairs, sets, percent), "links")
+    remove(members, open_, sets, pairs, labels)
     labels = stored(connected_components(links.unionByName(more)), "labels")
+    remove(links, more)
 
     classes = reps.select(*key, F.col("id").alias("class_id")).join(labels, F.col("class_id") == F.col("node"), "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component"))
     out = sig.select("doc_id", *key).join(classes, key, "left")

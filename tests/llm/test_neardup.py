@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lattix.llm import neardup
 from lattix.llm.components import connected_components
 
@@ -52,25 +54,54 @@ def test_against_brute_force(spark):
     assert all(r["kept"] == (i == truth[i]) for i, r in got.items())
 
 
-def test_large_buckets_are_cut_finer(spark):
+@pytest.mark.parametrize("max_group", [2, 8, 4096])
+def test_the_size_of_groups_changes_nothing(spark, max_group):
     rows = near_copies(60)
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), max_bucket=8).collect()}
-    truth, _ = brute(rows)
-    assert sum(got[i] != truth[i] for i in truth) <= 1  # finer buckets trade a little recall
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), max_group=max_group).collect()}
+    assert got == brute(rows)[0]
+
+
+def test_sets_of_more_documents_than_a_bitmap_marks(spark, monkeypatch):
+    rows = near_copies(30)
+    monkeypatch.setattr(neardup, "MAX_ASKED", 3)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute(rows)[0]
+
+
+def test_a_centre_of_many_lots(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LOT_MEMBERS", 3)
+    rows = near_copies(40)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute(rows)[0]
+
+
+def test_a_template_in_every_text(spark):
+    """Thousands of texts share three quarters of their words with all others, and only planted pairs are near."""
+    rng = random.Random(21)
+    template = [f"t{i}" for i in range(150)]
+    rows = []
+    for i in range(2_000):
+        own = [f"u{i}_{k}" for k in range(50)]
+        rows.append((2 * i, " ".join([*template, *own])))
+        if i % 100 == 0:
+            own[rng.randrange(50)] = "edited"
+            rows.append((2 * i + 1, " ".join([*template, *own])))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
 
 
 def test_large_buckets_lose_no_pair(spark):
-    """Components are those of all pairs that share a band and reach the threshold, whatever the buckets' sizes."""
+    """Components hold all pairs that share a band and reach the threshold, and no pair below it, whatever the groups' sizes."""
     rng = random.Random(11)
     passages = [[f"p{k}_{i}" for i in range(20)] for k in range(10)]
     rows = [(i, " ".join(w for k in sorted(rng.sample(range(10), rng.randrange(2, 6))) for w in passages[k]) + f" u{i} v{i}") for i in range(150)]
     sets = {i: neardup.shingles(t) for i, t in rows}
     keys = {i: set(neardup.bands(s).tolist()) for i, s in sets.items()}
     elements = {i: set(s.tolist()) for i, s in sets.items()}
-    for percent in (45, 60, 70):
+    def components(percent, every):
         at = {i: i for i in sets}
 
-        def find(x, at=at):
+        def find(x):
             while at[x] != x:
                 x = at[x]
             return x
@@ -78,13 +109,16 @@ def test_large_buckets_lose_no_pair(spark):
         for i in sets:
             for j in range(i):
                 a, b = elements[i], elements[j]
-                if keys[i] & keys[j] and 100 * len(a & b) >= percent * len(a | b):
+                if (every or keys[i] & keys[j]) and 100 * len(a & b) >= percent * len(a | b):
                     x, y = find(i), find(j)
                     at[max(x, y)] = min(x, y)
-        for max_bucket in (2, 4096):
-            df = spark.createDataFrame(rows, "doc_id bigint, text string")
-            got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, percent=percent, max_bucket=max_bucket).collect()}
-            assert got == {i: find(i) for i in sets}, (percent, max_bucket)
+        return {i: find(i) for i in sets}
+
+    for percent, max_group in ((45, 2), (60, 4096), (70, 2)):
+        least, most = components(percent, False), components(percent, True)
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, percent=percent, max_group=max_group).collect()}
+        assert all(got[i] == got[least[i]] and most[i] == most[got[i]] for i in sets), (percent, max_group)
 
 
 def test_odd_rows(odd_documents, no_documents):

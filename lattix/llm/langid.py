@@ -2,15 +2,19 @@
 
 Every language gets a codeword; one linear n-gram classifier per bit tells the languages with a 1 there from those
 with a 0.  A text's bit margins are decoded to the codeword with the least weighted loss, where a bit weighs as much
-as it separated the training rows, and the distance to the second codeword says how sure the answer is.
-
-Counts of n-grams come from a sample of about ``max_docs_per_language`` texts of each of the ``max_languages`` most
-frequent languages, drawn by a hash of the id (documented bounds); predictions cover every whole text.  N-grams are taken inside words,
-with marks at both ends, so a word's contribution is computed once per batch of texts.
-
-Defined results: a null text or one without letters is ``und`` with score 0; so is every text where no language was
-learned; texts of one single learned language are all given that language.  Ties go to the first language by code
-point.  Rows repeat as they come, further columns are ignored.
+as it separated the training rows.  The score is what lies between the shares of the two nearest codewords, and a text
+whose score is below ``AMBIGUOUS`` is flagged: its language is as good as tied with another.
+
+Counts of n-grams come from a sample of about ``max_docs_per_language`` texts of each language, drawn by a hash of the id
+(a documented bound); predictions cover every whole text.  There is no bound on the number of languages: counts by
+language stay distributed, and the driver gets one row per language (its name and its codeword's margins) and one per
+bucket of n-grams.  N-grams are taken inside words, with marks at both ends, so a word's contribution is computed once
+per batch of texts.
+
+Defined results: a null text or one without letters is ``und`` with score 0 and not ambiguous; so is every text where
+no language was learned; texts of one single learned language are all given that language.  Ties go to the first
+language by code point.  Rows with a null id are never learned from.  Rows repeat as they come, further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import release_memory, small_batches
+from lattix.llm.common import release_memory, remove, stored
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
+#: Below this score two codewords are as good as equally near.
+AMBIGUOUS = 0.01
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SIZES = (1, 2, 3, 4)
 
@@ -62,15 +68,20 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def codewords(n: int, *, max_bits: int = 31) -> np.ndarray:
-    """n rows of +1 and -1: all distinct splits where they are few, else the best of some random codes."""
+    """n rows of +1 and -1, all different and no bit the same in all of them: all splits where they are few, else the best
+    of some random codes, else (for thousands) random bits after the bits of the row's number."""
     if n <= 1:
         return np.ones((n, 1), np.float32)
     if n <= 5:
         rows = [np.array(c) for c in itertools.product((1, -1), repeat=n) if c[0] == 1 and -1 in c]
         return np.stack(rows, 1).astype(np.float32)
     rng, best, far = np.random.default_rng(n), None, -1
-    bits = max(max_bits, 3 * int(np.ceil(np.log2(n))))
-    for _ in range(200):
+    digits = int(np.ceil(np.log2(n)))
+    bits = max(max_bits, 3 * digits)
+    if n > 1_000:
+        number = np.float32(1) - 2 * ((np.arange(n)[:, None] >> np.arange(digits)) & 1).astype(np.float32)
+        return np.hstack([number, rng.choice(np.float32([1, -1]), (n, bits - digits))])
+    for _ in range(200 if n <= 64 else 20):
         code = rng.choice(np.float32([1, -1]), (n, bits))
         if (np.abs(code.sum(0)) == n).any():
             continue
@@ -91,9 +102,9 @@ class Model:
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """Loss of each language for rows of bit margins: weighted logistic loss against its codeword."""
-        z = (margins - self.centre) / self.scale
-        out = np.log1p(np.exp(np.clip(-z[:, None, :] * self.code[None] * 2, -50, 50)))
-        return (out * self.bit_weight).sum(2)
+        z = np.clip(2 * (margins - self.centre) / self.scale, -50, 50)
+        up = self.code > 0
+        return (np.log1p(np.exp(-z)) * self.bit_weight) @ up.T + (np.log1p(np.exp(z)) * self.bit_weight) @ ~up.T
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -151,64 +162,76 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
 
-def training_sample(docs: DataFrame, max_docs_per_language: int, max_languages: int) -> DataFrame:
+def training_sample(docs: DataFrame, max_docs_per_language: int) -> DataFrame:
     """(lang, text) of the documents whose hash is below their language's share, which leaves about
-    ``max_docs_per_language`` of each of the ``max_languages`` most frequent languages.  Nothing is shuffled but counts."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not counts:
-        return usable.select("lang", "text").limit(0)
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, max_docs_per_language / r["n"])))))
+    ``max_docs_per_language`` of each language.  Nothing is shuffled but counts, one row per language."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, max_docs_per_language / r["n"])) for r in counts], "lang string, share double")
     at = (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    return usable.where(at < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+    return usable.join(F.broadcast(shares), "lang").where(at < F.col("share")).select("lang", "text")
 
 
-def learn(docs: DataFrame, *, max_docs_per_language: int = 1_000, max_languages: int = 500, smoothing: float = 0.5) -> Model:
+def learn(docs: DataFrame, *, max_docs_per_language: int = 1_000, smoothing: float = 0.5) -> Model:
     """A model from (doc_id, text, lang) rows; the caller leaves out what must not be learned from."""
-    sample = training_sample(docs.select("doc_id", "text", "lang"), max_docs_per_language, max_languages)
-    got = sample.mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(got["lang"].unique())
-    counts = np.zeros((len(languages), BUCKETS))
-    for k, lang in enumerate(languages):
-        part = got[got["lang"] == lang]
-        counts[k, part["bucket"].to_numpy(int)] = part["n"]
-    return fit(languages, counts, smoothing)
-
-
-def fit(languages: list[str], counts: np.ndarray, smoothing: float = 0.5) -> Model:
+    sample = training_sample(docs.select("doc_id", "text", "lang"), max_docs_per_language)
+    counts = stored(sample.mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "ngrams")
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    model = fit(counts, totals, smoothing)
+    remove(counts)
+    return model
+
+
+def fit(counts: DataFrame, totals: dict[str, int], smoothing: float) -> Model:
+    """A model from counts (lang, bucket, n) and their sums by language."""
+    spark = counts.sparkSession
+    languages = sorted(totals)
     code = codewords(len(languages))
+    bits = code.shape[1]
+    weights = np.ones((BUCKETS, bits + 1), np.float32)
     if len(languages) < 2:
-        weights = np.ones((BUCKETS, code.shape[1] + 1), np.float32)
-        one = np.ones(code.shape[1])
+        one = np.ones(bits)
         return Model(languages, code, weights, one * 0, one, one)
-    share = (counts + smoothing) / (counts.sum(1, keepdims=True) + smoothing * BUCKETS)  # every language weighs the same
-    weights = np.empty((BUCKETS, code.shape[1] + 1), np.float32)
-    weights[:, -1] = 1
-    for b in range(code.shape[1]):
-        up = code[:, b] > 0
-        weights[:, b] = np.log(share[up].mean(0)) - np.log(share[~up].mean(0))
-    mean = share @ weights[:, :-1]  # expected margins of each language
-    on, off = (np.where(code > 0, mean, np.nan), np.where(code < 0, mean, np.nan))
-    low, high = np.nanmin(on, 0), np.nanmax(off, 0)
-    centre = (low + high) / 2
-    scale = np.maximum(np.abs(low - high) / 4, 1e-3)
+    part = np.array([1 / (totals[x] + smoothing * BUCKETS) for x in languages])  # every language weighs the same
+    about = [(x, float(p), [c > 0 for c in row]) for x, p, row in zip(languages, part, code.tolist(), strict=True)]
+    about = F.broadcast(spark.createDataFrame(about, "lang string, part double, up array<boolean>"))
+    share = F.col("n") * F.col("part")
+    on = [F.sum(F.when(F.col("up")[b], share).otherwise(0.0)).cast("float").alias(f"b{b}") for b in range(bits)]
+    got = counts.join(about, "lang").groupBy("bucket").agg(*on, F.sum(share).cast("float").alias("all")).toPandas()
+    up, every = np.zeros((BUCKETS, bits)), np.zeros(BUCKETS)
+    up[got["bucket"].to_numpy(int)] = got[[f"b{b}" for b in range(bits)]].to_numpy(float)
+    every[got["bucket"].to_numpy(int)] = got["all"].to_numpy(float)
+    is_up = code > 0
+    least = smoothing * part
+    ups, downs = up + least @ is_up, np.maximum(every[:, None] - up, 0) + least @ ~is_up
+    weights[:, :-1] = np.log(ups / is_up.sum(0)) - np.log(downs / (~is_up).sum(0))
+    shared, rest = spark.sparkContext.broadcast(weights), smoothing * weights[:, :-1].sum(0)
+
+    def margin(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = shared.value[pdf["bucket"].to_numpy(int), :-1]
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "m": [pdf["n"].to_numpy(float) @ w]})
+
+    sums = dict(counts.groupBy("lang").applyInPandas(margin, "lang string, m array<double>").toPandas().itertuples(index=False, name=None))
+    mean = (np.stack([sums[x] for x in languages]) + rest) * part[:, None]  # expected margins of each language
+    low, high = np.nanmin(np.where(is_up, mean, np.nan), 0), np.nanmax(np.where(is_up, np.nan, mean), 0)
     gap = np.maximum(low - high, 1e-3)
-    return Model(languages, code, weights, centre, scale, gap / gap.sum() * code.shape[1])
+    return Model(languages, code, weights, (low + high) / 2, np.maximum(np.abs(low - high) / 4, 1e-3), gap / gap.sum() * bits)
 
 
 def predict_column(spark, model: Model):
-    """A vectorised function of a text column: struct<lang_pred, score>.  The model's size is fixed by its parameters."""
-    small_batches(spark)
+    """A vectorised function of a text column: struct<lang_pred, score, ambiguous>.  The broadcast model holds one row per
+    bucket and one per language."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predict(text: pd.Series) -> pd.DataFrame:
-        names, scores, values = [], [], text.tolist()
+        names, scores, values = [], [np.zeros(0)], text.to_numpy()
         for a in range(0, len(values), 512):
             n, s = shared.value.predict([t if isinstance(t, str) else None for t in values[a : a + 512]])
             names += n
             scores.append(s)
         release_memory()
-        return pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else np.zeros(0)})
+        score = np.concatenate(scores)
+        return pd.DataFrame({"lang_pred": names, "score": score, "ambiguous": (score < AMBIGUOUS) & (np.array(names, object) != UNKNOWN)})
 
     return predict

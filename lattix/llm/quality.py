@@ -6,8 +6,9 @@ no longer precise enough.  ``rule_expression`` turns the list into one ``CASE WH
 
 Defined results: a null text has no words and fails the base rule; empty texts likewise; with no usable labelled
 row of either class the list is empty and only the base rule decides; labels with a null id or quality are not used;
-repeated labels count repeatedly; further columns are ignored.  Learning uses at most ``max_rows`` labels, those with
-the smallest hash of the id: this bound is a parameter, everything else covers all rows.
+repeated labels and documents count repeatedly; further columns are ignored.  Learning uses at most ``max_rows`` labels,
+those with the smallest hash of the id, and of their documents at most ``max_rows`` that the base rule leaves, in the
+same order: this bound is a parameter, everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattix.llm.common import release_memory, small_batches
+from lattix.llm.common import release_memory
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_distinct_words", "n_lines", "n_upper", "n_digits", "n_marks"]
@@ -75,9 +76,10 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 @F.pandas_udf(STATISTICS)
 def document_statistics(text: pd.Series) -> pd.DataFrame:
-    out = pd.DataFrame([measure(t) for t in text], columns=BASE + MORE, dtype="int64")
+    values = text.to_numpy()
+    out = np.array([measure(t) for t in values], np.int64).reshape(-1, len(BASE + MORE))
     release_memory()
-    return out
+    return pd.DataFrame(out, columns=BASE + MORE)
 
 
 def base_failed(s: str = "") -> Column:
@@ -198,7 +200,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, *
     some = (
         labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__quality"))
         .where("__id is not null and __quality is not null")
-        .orderBy(F.xxhash64(F.lit(7), "__id"), "__id", "__quality")
+        .orderBy(order := F.xxhash64(F.lit(7), "__id"), "__id", "__quality")
         .limit(max_rows)
     )
     stats = (
@@ -207,7 +209,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, *
         .select("__id", "__quality", document_statistics("__text").alias("s"))
         .select("__id", "__quality", "s.*")
     )
-    got = stats.where(~base_failed()).limit(2 * max_rows).toPandas()
+    # an order and a limit at once are one pass, and the same rows whatever the tasks' timing
+    got = stats.where(~base_failed()).orderBy(order, "__id", "__quality", *BASE, *MORE).limit(max_rows).toPandas()
     got = got.sort_values(["__id", "__quality", *BASE], ignore_index=True)
     got = got.iloc[pd.util.hash_pandas_object(got["__id"], index=False).argsort(kind="stable")].reset_index(drop=True)
     return cover(got[BASE + MORE], got["__quality"].to_numpy() == 0, **options) if len(got) else []
@@ -230,7 +233,6 @@ def describe(rules: list[Rule]) -> list[str]:
 
 def judge(docs: DataFrame, rules: list[Rule], *, keep: list[str] | None = None) -> DataFrame:
     """The kept columns plus struct ``__q`` of statistics, ``__base_failed``, ``__rule`` and ``__kept``."""
-    small_batches(docs.sparkSession)
     out = docs.select(*(docs[f"`{c}`"] for c in keep or docs.columns), document_statistics("text").alias("__q"))
     out = out.withColumn("__base_failed", base_failed("__q.")).withColumn("__rule", rule_expression(rules, "__q."))
     return out.withColumn("__kept", ~F.col("__base_failed") & F.col("__rule").isNull())

@@ -2,7 +2,8 @@
 
 1. Targets: the sources share the total size by weight; a target stops at ``max_repeats`` times its source's size and
    what is over is shared again by weight, which is one water level over the sources.
-2. Quotas: a source's documents fall into up to 4,096 blocks by a hash.  Its quota in words is some whole passes over
+2. Quotas: a source's documents fall into blocks by a hash: 4,096, or so many times sixteen more that a shard of
+   ``shard_words`` takes at least four blocks.  Its quota in words is some whole passes over
    all blocks and a rest, drawn from the blocks in a permuted order; the block at the end of the rest is drawn in part,
    document by document, so every source's words equal its rounded target.
 3. Splitting tree: the counts of drawn blocks per source are halved among output shards again and again; each split
@@ -12,8 +13,9 @@
    shard, documents are ordered by a hash.
 
 Nothing is random: all draws come from hashes of the seed, so reruns agree.  No source or block passes through one
-task; windows run over blocks of a source (4,096 times ``max_repeats`` rows at most), over the documents of single
-blocks, and over the list of sources.
+task; windows run over blocks of a source (four for each of the shards, or 4,096), over the documents of single blocks,
+and over the list of sources, which the root of the tree holds in one row: some thousands of sources are well, millions
+are not.
 
 Defined results: a null text has size 0; null sources form one source, last in order; with no words at all every
 target and taken figure is 0; documents of size 0 are never taken; repeated rows are drawn on their own; an empty table
@@ -31,10 +33,15 @@ from lattix.llm.common import WORD, stored
 
 
 def sizes(docs: DataFrame, *, seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, block, ord) of every document."""
+    """(doc_id, source, size, ord) of every document; a block holds the documents whose ``ord`` begins alike."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), h.alias("ord")).withColumn("block", F.substring("ord", 1, 3))
+    return docs.select("doc_id", "source", size.alias("size"), h.alias("ord"))
+
+
+def block_digits(words: int, shard_words: int) -> int:
+    """Hexadecimal digits of a block's name: three, or as many as make blocks of a quarter of a shard."""
+    return max(3, math.ceil(math.log(max(1.0, 4 * words / shard_words), 16)))
 
 
 def targets(per_source: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -97,7 +104,7 @@ def _uniform(*parts: Column) -> Column:
 
 
 def split_tree(units: DataFrame, levels: int, *, seed: int = 0) -> DataFrame:
-    """(rank, units) to (rank, shard, units) for 2 ** levels shards."""
+    """(rank, units) to (rank, shard, units) for 2 ** levels shards; a source has rows for the shards that it is in."""
     nodes = units.select(F.lit(0).cast("long").alias("node"), "rank", F.col("units").cast("long").alias("units"))
     for level in range(levels):
         packed = nodes.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "units"))).alias("counts"), F.sum("units").alias("total"))
@@ -116,19 +123,21 @@ def split_tree(units: DataFrame, levels: int, *, seed: int = 0) -> DataFrame:
         split = split.select("node", "c.rank", "c.units", "c.left")
         left = split.select((F.col("node") * 2).alias("node"), "rank", F.col("left").alias("units"))
         right = split.select((F.col("node") * 2 + 1).alias("node"), "rank", (F.col("units") - F.col("left")).alias("units"))
-        nodes = stored(left.unionByName(right), "nodes")
+        nodes = stored(left.unionByName(right).where("units > 0"), "nodes")
     return nodes.select("rank", F.col("node").alias("shard"), "units")
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, shard_words: int = 1 << 24, max_levels: int = 12, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, shard_words: int = 1 << 24, seed: int = 0) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken and draws, an array of
     struct<shard, pass, words, position>.  There are as many shards, a power of two, as make about ``shard_words`` each."""
     sized = stored(sizes(docs, seed=seed), "sizes")
+    digits = block_digits(sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], shard_words)
+    sized = sized.withColumn("block", F.substring("ord", 1, digits))
     per_block = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
     plan = targets(per_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights=weights, max_repeats=max_repeats)
     plan = stored(plan, "plan")
     total = plan.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
-    levels = min(max_levels, max(0, math.ceil(math.log2(max(1, total) / shard_words))))
+    levels = max(0, math.ceil(math.log2(max(1, total) / shard_words)))
 
     # the drawn blocks: passes over all, and those of the rest
     permuted = Window.partitionBy("rank").orderBy("block_order", "block")
@@ -143,9 +152,12 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: i
     counts = units.groupBy("rank").agg(F.count("*").alias("units"))
     quotas = split_tree(counts, levels, seed=seed)
     upto = Window.partitionBy("rank").orderBy("shard")
-    starts = quotas.withColumn("end", F.sum("units").over(upto)).groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("shard", "end"))).alias("ends"))
-    dealt = units.withColumn("at", F.row_number().over(Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed), "rank", "block", "pass"), "block", "pass")))
-    dealt = dealt.join(starts, "rank").withColumn("shard", F.size(F.filter("ends", lambda e: e["end"] < F.col("at"))).cast("long"))
+    # a source's permuted units and the places where its shards begin, in one order: a unit is in the last shard begun
+    starts = quotas.select("rank", (F.sum("units").over(upto) - F.col("units") + 1).alias("at"), F.lit(0).alias("unit"), "shard", F.lit(None).cast("string").alias("block"), F.lit(None).cast("long").alias("pass"))
+    dealt = units.withColumn("at", F.row_number().over(Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed), "rank", "block", "pass"), "block", "pass")).cast("long"))
+    dealt = dealt.select("rank", "at", F.lit(1).alias("unit"), F.lit(None).cast("long").alias("shard"), "block", "pass")
+    begun = Window.partitionBy("rank").orderBy("at", "unit").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = starts.unionByName(dealt).withColumn("shard", F.last("shard", ignorenulls=True).over(begun)).where("unit = 1")
     dealt = dealt.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("units"))
     planned = stored(blocks.join(dealt, ["rank", "block"], "left").drop("block_order", "words", "before", "quota", "rest"), "blocks")
 

@@ -33,6 +33,29 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
 
 
+def redirects_of(pages: DataFrame) -> DataFrame:
+    """(from_url, to_url): pages lead to the next one in tens, every second ten leads back to its first page, and every
+    thirteenth page leads to one page for all."""
+    n = F.col("page_id")
+    step = F.when(n % 10 < 9, n + 1).when(n % 20 == 19, n - 9)
+    to = pages.select(n.alias("to_id"), F.col("url").alias("to_url"))
+    chains = pages.select(F.col("url").alias("from_url"), step.alias("to_id")).join(to, "to_id").select("from_url", "to_url")
+    return chains.unionByName(pages.where(n % 13 == 0).select(F.col("url").alias("from_url"), F.lit(HUB).alias("to_url")))
+
+
+HUB = "http://hub.example.org/es/all"
+
+
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of ``op4_url_filter`` where chains, cycles and a hub of redirects join the pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return urls.judge_urls(pages, URL_RULES, redirects=redirects_of(pages))
+
+
+_REDIRECTS = f"""select x.url, y.url from {{0}} x join {{0}} y on y.page_id = case when x.page_id % 10 < 9 then x.page_id + 1 when x.page_id % 20 = 19 then x.page_id - 9 end
+  union all select url, '{HUB}' from {{0}} where page_id % 13 = 0"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.learn_rules(docs, table(spark, sf_dir, "labels"))
@@ -53,11 +76,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = fold_of("doc_id", 4) == 2
+    held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(True))  # a null id is in no fold and not learned from
     model = langid.learn(docs.where(~held_out))
     predict = langid.predict_column(spark, model)
     out = docs.select("doc_id", held_out.alias("held_out"), predict("text").alias("p"))
-    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.ambiguous")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +98,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_mixing, op4_url_filter, op5_quality_rules, op6_token_counts, op7_language_id, op8_lm_score, op9_nearest, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_minhash_neardup, op3_mixing, op4_url_filter, op5_quality_rules, op6_token_counts, op7_language_id, op8_lm_score, op9_nearest, op10_sentencepiece, url_redirects)}
 _CHAT = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all
@@ -107,4 +130,5 @@ ORACLES: dict[str, str] = {
     "op2_minhash_neardup": _NEARDUP,
     "op3_mixing": mixing.TAKEN_SQL.format(docs="documents"),
     "op4_url_filter": urls.verdict_sql(URL_RULES, "pages"),
+    "url_redirects": urls.verdict_sql(URL_RULES, "pages", _REDIRECTS.format("pages")),
 }

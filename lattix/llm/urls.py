@@ -6,8 +6,9 @@ redirects, and to its canonical form (no ``www.``/``m.``, no tracking parameters
 ``.html``).  A url without a rule of its own is blocked if any url of its class is blocked by a rule; an explicit allow
 always precedes that, and decides between rules of one length.
 
-Rules are looked up per distinct host, through the host's suffixes, so the cost doesn't depend on how many pages a host
-has.  Only urls and 16-byte keys are shuffled, never pages.
+A url meets only rules that fit it: the suffixes of its host that have rules bring the lengths that these rules' paths
+have, and (suffix, beginning of the path) is looked up for each.  A host with very many rules so costs as many look-ups
+as they have lengths.  Only urls and 16-byte keys are shuffled, never pages.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule, has no alias and is allowed;
 repeated rows are repeated; null html has no links; further columns are ignored; an empty table gives no rows.
@@ -68,28 +69,19 @@ def resolved(link: Column, url: Column) -> Column:
 
 
 def with_rules(urls: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds ``rule`` (host and path of the longest rule that fits, else null) and ``action`` to rows with host and path."""
+    """Adds ``rule`` (host and path of the longest rule that fits, else null) and ``action`` to distinct urls with host and path."""
     spark = urls.sparkSession
-    table = spark.createDataFrame(rules, "action string, r_host string, r_path string")
-    table = table.groupBy("r_host").agg(
-        F.collect_list(
-            F.struct(
-                (F.length("r_host") + F.length("r_path")).alias("len"),
-                F.when(F.col("action") == "allow", 1).otherwise(0).alias("allows"),
-                F.concat("r_host", "r_path").alias("rule"),
-                F.col("r_path").alias("path"),
-                "action",
-            )
-        ).alias("rules")
-    )
-    if len(rules) <= BROADCAST_RULES:
-        table = F.broadcast(table)
+    small = (lambda df: F.broadcast(df)) if len(rules) <= BROADCAST_RULES else (lambda df: df)
+    table = spark.createDataFrame(rules, "action string, r_host string, r_path string").groupBy("r_host", "r_path").agg(F.min("action").alias("action"))  # of one rule twice, the allow
+    lengths = table.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths"))  # as many as a path has characters, at most
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    by_host = urls.select("host").where("host <> ''").distinct().select("host", F.explode(suffixes).alias("r_host"))
-    by_host = by_host.join(table, "r_host").groupBy("host").agg(F.flatten(F.collect_list("rules")).alias("__rules"))
-    fits = F.array_max(F.filter("__rules", lambda r: F.col("path").startswith(r["path"])))
-    return urls.join(by_host, "host", "left").withColumn("__fit", fits).withColumn("rule", F.col("__fit.rule")).withColumn("action", F.col("__fit.action")).drop("__rules", "__fit")
+    tried = urls.where("host <> ''").select("url", "path", F.explode(suffixes).alias("r_host")).join(small(lengths), "r_host")
+    tried = tried.select("url", "path", "r_host", F.explode("lengths").alias("n")).where(F.length("path") >= F.col("n"))
+    fits = tried.select("url", "r_host", F.expr("left(path, n)").alias("r_path")).join(small(table), ["r_host", "r_path"])
+    rule = F.concat("r_host", "r_path")
+    best = fits.groupBy("url").agg(F.max(F.struct(F.length(rule).alias("len"), (F.col("action") == "allow").alias("allows"), rule.alias("rule"), "action")).alias("best"))
+    return urls.join(best.select(F.col("url").alias("__url"), "best"), F.col("url") == F.col("__url"), "left").select(*urls.columns, "best.rule", "best.action")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], *, redirects: DataFrame | None = None) -> DataFrame:
@@ -126,8 +118,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, redirects: DataFrame | No
     )
 
 
-def verdict_sql(rules: list[Rule], pages: str) -> str:
-    """The same judgement as SQL for DuckDB: blocked urls spread over the edges by recursion."""
+def verdict_sql(rules: list[Rule], pages: str, redirects: str = "") -> str:
+    """The same judgement as SQL for DuckDB: blocked urls spread over the edges by recursion.  ``redirects`` may be a select
+    of further (a, b) urls."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({quote(a)}, {quote(h)}, {quote(p)})" for a, h, p in rules)
     host = f"translate(regexp_extract({{u}}, '{HOST}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -147,8 +140,8 @@ links as (
     when starts_with(l, '//') then scheme || ':' || l
     when starts_with(l, '/') then scheme || '://' || raw_host || l
     else scheme || '://' || raw_host || regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || l end as b
-  from raw_links where url is not null and l is not null and l <> ''),
-urls as (select url from p where url is not null union select b from links),
+  from raw_links where url is not null and l is not null and l <> ''{" union all " + redirects if redirects else ""}),
+urls as (select url from p where url is not null union select a from links where a is not null union select b from links where b is not null),
 forms as (
   select url, 'u' || split_part(url, '#', 1) as node,
          'c' || regexp_replace({h}, '^(www|m)\.', '') || regexp_replace({p}, '(\.html?|/)$', '') || coalesce('?' || nullif(regexp_replace(

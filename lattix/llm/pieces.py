@@ -21,16 +21,16 @@ The model file is read on the driver and its pieces are broadcast, at most ``MAX
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lattix.llm.common import release_memory, small_batches
+from lattix.llm.common import release_memory
 
 MAX_PIECES = 1 << 20
 BLANK = "▁"
@@ -40,7 +40,33 @@ _MASK = (1 << 64) - 1
 _FEW = np.uint64((1 << 20) - 1)
 #: Texts are encoded in lots of about so many characters.
 BATCH_CHARS = 2_500_000
-NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
+NORMAL, UNKNOWN, CONTROL, BYTE, UNUSED = range(5)
+# The numbers of kinds of pieces in a model file (those of user-defined pieces, 4, are not supported).
+_KINDS = {1: NORMAL, 2: UNKNOWN, 3: CONTROL, 5: UNUSED, 6: BYTE}
+
+
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a message in the wire format: integers, or bytes for all else."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            out |= (message[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if message[at - 1] < 128:
+                return out
+
+    while at < len(message):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = {1: 8, 2: None, 5: 4}[key & 7]
+        size = varint() if size is None else size
+        yield key >> 3, message[at : at + size]
+        at += size
 
 
 def _finished(h: np.ndarray, length) -> np.ndarray:
@@ -66,19 +92,31 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str) -> Pieces:
-        """The pieces of a model file, whose kind shows in its scores: those of merges are whole negative ranks."""
+        """The pieces of a model file and its kind; settings that this encoder doesn't follow are an error."""
         with open(path, "rb") as f:
-            model = sentencepiece.SentencePieceProcessor(model_proto=f.read())
-        n = model.vocab_size()
-        if n > MAX_PIECES:
-            raise ValueError(f"{path} has more than {MAX_PIECES} pieces")
-        kinds = [UNKNOWN if model.is_unknown(i) else CONTROL if model.is_control(i) else BYTE if model.is_byte(i) else NORMAL for i in range(n)]
-        texts = [model.id_to_piece(i) for i in range(n)]
-        if any(BLANK in t.lstrip(BLANK) for t, k in zip(texts, kinds, strict=True) if k == NORMAL):
-            raise ValueError("pieces with a blank behind a character are not supported")
-        scores = np.array([model.get_score(i) for i in range(n)])
-        normal = np.array(kinds) == NORMAL
-        return cls(texts, scores, np.array(kinds), bool((scores[normal] == np.round(scores[normal])).all()))
+            found = list(_fields(f.read()))
+        trainer = dict(_fields(next((v for n, v in found if n == 2), b"")))
+        normaliser = dict(_fields(next((v for n, v in found if n == 3), b"")))
+        kind = trainer.get(3, 1)
+        unsupported = {
+            "a model that is neither unigram nor BPE": kind not in (1, 2),
+            "normalisation": bool(normaliser.get(2)),
+            "no dummy prefix": not normaliser.get(3, 1),
+            "removal of extra blanks": bool(normaliser.get(4, 1)),
+            "unescaped blanks": not normaliser.get(5, 1),
+            "blanks as suffixes": bool(trainer.get(24, 0)),
+        }
+        texts, scores, kinds = [], [], []
+        for piece in (dict(_fields(v)) for n, v in found if n == 1):
+            texts.append(piece.get(1, b"").decode())
+            scores.append(struct.unpack("<f", piece.get(2, bytes(4)))[0])
+            kinds.append(_KINDS.get(piece.get(3, 1)))
+        unsupported["user-defined pieces"] = None in kinds
+        unsupported[f"more than {MAX_PIECES} pieces"] = len(texts) > MAX_PIECES
+        unsupported["pieces with a blank behind a character"] = any(BLANK in t.lstrip(BLANK) for t, k in zip(texts, kinds, strict=True) if k == NORMAL)
+        if what := [k for k, v in unsupported.items() if v]:
+            raise ValueError(f"{path}: not supported: {', '.join(what)}")
+        return cls(texts, np.array(scores), np.array(kinds), kind == 2)
 
     def __post_init__(self):
         self.ids = {t: i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == NORMAL}
@@ -248,7 +286,6 @@ class Pieces:
 
 def encode_documents(docs: DataFrame, model_path: str, *, keep: list[str]) -> DataFrame:
     """The kept columns and n_tokens, ids and round_trip (whether the ids decode to the text)."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_path))
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(keep, names, strict=True)), docs["text"].alias("text"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattix.llm.common import release_memory, small_batches, stored
+from lattix.llm.common import batch_rows, release_memory, remove, stored
 from lattix.llm.neardup import _hash_of, _hashes, mixed
 
 SEGMENT_BITS, PROBES, BITS_PER_ENTRY = 1 << 16, 4, 12
@@ -298,16 +298,13 @@ def score_documents(docs: DataFrame, trains: Column, *, top_words: int = TOP_WOR
     """Scores of (doc_id, text) rows by a model of the rows where ``trains`` holds: doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), (~F.coalesce(trains, F.lit(False))).alias("held_out"), "text")
     chunked = rows.mapInArrow(_chunked, "ids array<bigint>, held_out array<boolean>, lens array<int>, words binary, at binary")
-    chunks = stored(chunked.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    with batch_rows(spark, 1_000):
+        chunks = stored(chunked.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     size = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
     parts = max(LEAST_PARTS, math.ceil(size / PART_TOKENS))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    batch_rows = spark.conf.get(key)
-    spark.conf.set(key, "4")  # chunks are large rows
-    try:
+    with batch_rows(spark, 4):  # chunks are large rows
         counted = chunks.select("held_out", "lens", "words", "at").mapInArrow(_counted(parts), "part long, pair boolean, keys binary, n binary")
         model = stored(counted.groupBy("part").applyInArrow(_modelled, "part long, bits binary, words array<struct<key: bigint, n: bigint>>"), "model")
         del counted
@@ -327,13 +324,12 @@ def score_documents(docs: DataFrame, trains: Column, *, top_words: int = TOP_WOR
         answers = stored(asked.mapInArrow(_answered, "chunk long, part long, levels binary"), "answers")
         del asked
         _drop_shuffles(spark)
-        answers = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "levels")))["levels"].alias("levels"))
+        listed = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "levels")))["levels"].alias("levels"))
         run = _scored(shared, parts, n_train, n_distinct)
-        answered = chunks.join(answers, "chunk").select("ids", "held_out", "lens", "words", "at", "levels")
+        answered = chunks.join(listed, "chunk").select("ids", "held_out", "lens", "words", "at", "levels")
         scored = answered.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<bigint>")
         scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    finally:
-        spark.conf.set(key, batch_rows)
+        remove(chunks, answers)
     below = n_train + ADD * (n_distinct + 1)
     rest = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     c = F.coalesce("n", F.lit(0))

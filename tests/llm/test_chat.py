@@ -44,3 +44,9 @@ def test_empty(spark):
 def test_native(spark):
     plan = chat.digest(chat.read_back(chat.format_conversations(frame(spark, [(1, 0, "user", "x")]))))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"text {i} <|im_end|>") for i in range(5000)]
+    d = chat.digest(chat.read_back(chat.format_conversations(frame(spark, rows)))).first()
+    assert d["n_turns"] == 5000 and d["loss_chars"] == sum(len(t) for _, _, r, t in rows if r == "assistant")

@@ -43,6 +43,18 @@ def test_targets_and_draws(spark):
     assert again == {r["doc_id"]: r["draws"] for r in got}
 
 
+def test_more_shards_and_blocks_than_4096(spark):
+    docs = documents(spark, 60)
+    got = mixing.mix(docs, shard_words=0.1).collect()
+    words = sum(r["taken"] for r in got)
+    shards = defaultdict(int)
+    for r in got:
+        assert r["taken"] <= 3 * r["size"]
+        for d in r["draws"]:
+            shards[d["shard"]] += d["words"]
+    assert max(shards) > 4096 and sum(shards.values()) == words and mixing.block_digits(words, 0.1) == 4
+
+
 def test_shards_have_equal_numbers_of_blocks(spark):
     units = spark.createDataFrame([(1, 37), (2, 501), (3, 0), (4, 90)], "rank int, units long")
     out = mixing.split_tree(units, 3).groupBy("shard").agg(F.sum("units").alias("n")).collect()

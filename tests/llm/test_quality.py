@@ -39,6 +39,13 @@ def test_learns_and_explains(spark):
     assert rules == quality.learn_rules(docs.where("doc_id < 300").repartition(5), labels.repartition(3))
 
 
+def test_repeated_labels_and_documents_give_the_same_rules(spark):
+    docs, labels = labelled(spark, 300)
+    docs, labels = docs.unionByName(docs).unionByName(docs), labels.unionByName(labels)
+    rules = [quality.learn_rules(docs.repartition(n), labels.repartition(n + 1), max_rows=150) for n in (1, 5)]
+    assert rules[0] and rules[0] == rules[1]
+
+
 def test_conjunctions_and_order():
     import numpy as np
     import pandas as pd

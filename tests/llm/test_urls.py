@@ -37,5 +37,17 @@ def test_aliases(spark):
     assert judged(spark, rows, redirects=more)[7][3] == "block"
 
 
+def test_many_rules_of_one_host(spark):
+    """The longest of very many rules, of which some are there twice, once as a block and once as an allow."""
+    rules = [("block", "com", f"/{i}/") for i in range(3000)] + [("allow", "com", f"/{i}/x") for i in range(0, 3000, 2)] + [("allow", "com", "/7/"), ("block", "x.com", "/8")]
+    rows = [(i, f"http://x.com/{i}/{'x' if i % 3 else 'y'}{'z' * 50}", "") for i in range(40)]
+    df = spark.createDataFrame([(*r, "clash", "clash", "clash") for r in rows], SCHEMA)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(df, rules).collect()}
+    for i, url, _ in rows:
+        path = url.removeprefix("http://x.com")
+        fits = [(len(h + p), a == "allow", h + p, a) for a, h, p in rules if h in ("com", "x.com") and path.startswith(p)]
+        assert got[i] == (max(fits)[2], max(fits)[3]), url
+
+
 def test_empty(spark):
     assert judged(spark, []) == {}

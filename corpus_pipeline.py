@@ -6,60 +6,63 @@ the columns of documents.  What a stage learns, it learns from its own input and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattix.llm import langid, mixing, neardup, pieces, quality
-from lattix.llm.common import shared_dir, table
+from lattix.llm.common import shared_dir, stored, table
 from lattix.llm.queries import TOKENIZERS
 
-#: Texts whose language is nearer to a tie than this are rejected with those of no known language.
-LEAST_LANGUAGE_SCORE = 0.01
 
-
-def _columns(docs: DataFrame) -> list:
-    return [docs[f"`{c}`"] for c in docs.columns]
+def _packed(docs: DataFrame, *names: str) -> DataFrame:
+    """Whole rows as one struct beside the columns that a stage works on, so that no name of theirs can clash with its own."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), *names)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor a learned rule rejects.  A null text has no words and goes."""
     rules = quality.learn_rules(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, rules).where("__kept").select(*_columns(docs))
+    return quality.judge(_packed(docs, "text"), rules, keep=["doc"]).where("__kept").select("doc.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those that have none, or lie on the border between two, go.
+    """Documents with a language; those that have none, or whose language is ambiguous, go.
     Where no document has a language to learn from, all stay."""
     model = langid.learn(docs)
     if not model.languages:
         return docs
-    known = docs.withColumn("__l", langid.predict_column(spark, model)("text"))
-    known = known.where((F.col("__l.lang_pred") != langid.UNKNOWN) & (F.col("__l.score") >= LEAST_LANGUAGE_SCORE))
-    return known.select(*_columns(docs))
+    known = _packed(docs, langid.predict_column(spark, model)("text").alias("l"))
+    return known.where((F.col("l.lang_pred") != langid.UNKNOWN) & ~F.col("l.ambiguous")).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest id; of rows with one id, the one with the least text."""
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    some = docs.join(kept, F.col("doc_id") == F.col("__id")).withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy("text")))
-    unnamed = docs.where("doc_id is null")
-    return some.where("__n = 1").select(*_columns(docs)).unionByName(unnamed)
+    """One document of each group, that with the smallest id; of rows with one id, the one with the least text, then the
+    least language and source; rows without an id stay.  Only rows whose id comes again are sorted by their texts."""
+    found = neardup.near_duplicates(docs)
+    kept = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    order = [c for c in ("text", "lang", "source") if c in docs.columns]
+    rows = _packed(docs, F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"o_{c}") for c in order))
+    once = rows.join(kept.where("n = 1"), "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(f"o_{c}" for c in order)))
+    again = rows.join(kept.where("n > 1"), "doc_id", "left_semi").withColumn("k", first).where("k = 1")
+    return once.select("doc").unionByName(again.select("doc")).unionByName(rows.where("doc_id is null").select("doc")).select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix draws it, in the shards' order.  A document at the end of its source's quota
     is drawn whole if at least half of it was.  A document without an id goes by a hash of its text, and rows that
     share an id share its draws."""
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))))
-    draws = mixing.mix(keyed.select(F.col("__key").alias("doc_id"), "source", "text")).select("doc_id", "size", F.explode("draws").alias("d"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    keyed = _packed(docs, key.alias("doc_id"), "source", "text")
+    draws = mixing.mix(keyed.select("doc_id", "source", "text")).select("doc_id", "size", F.explode("draws").alias("d"))
     draws = draws.select("doc_id", "size", "d.pass", "d.shard", "d.words", "d.position").where(F.col("words") * 2 >= F.col("size")).dropDuplicates(["doc_id", "pass"])
-    draws = draws.select(F.col("doc_id").alias("__drawn"), F.col("shard").alias("__shard"), F.col("position").alias("__position"))
-    out = keyed.join(draws, F.col("__key") == F.col("__drawn"))
+    out = keyed.select("doc", "doc_id").join(draws.select("doc_id", "shard", "position"), "doc_id")
     # a shard's rows in order of their hashes, cut into runs so that no task holds a whole shard
-    out = out.withColumn("__run", F.shiftrightunsigned("__position", 60)).repartition("__shard", "__run").sortWithinPartitions("__shard", "__position")
-    return out.select(*_columns(docs))
+    out = out.withColumn("run", F.shiftrightunsigned("position", 60)).repartition("shard", "run").sortWithinPartitions("shard", "position")
+    return out.select("doc.*")
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,10 +85,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{id(docs):x}"
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         path = f"{base}-{k}-{name}.parquet"
-        out.write.mode("overwrite").parquet(path)
+        out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

@@ -42,9 +42,11 @@ from lattix.llm.components import connected_components
 BINS, ROWS = 128, 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _ORDERS = np.argsort(np.random.default_rng(2017).random((BINS, BINS)), axis=1)  # every bin's own order of all bins
-CELLS, MAX_GROUP = 1_024, 4_096
+CELLS, MAX_GROUP = 1_024, 1_024
 #: Up to so many documents are pointed out to the scan by a bitmap (8 bits each, so 8 MB); more are joined.
 MAX_ASKED = 1 << 23
+#: Shingles by which a pair is recognised as one that has been taken.
+HEAD = 32
 #: Members that meet one copy of their centre's set.
 LOT_MEMBERS = 256
 
@@ -151,6 +153,7 @@ def _sets(shared, width: int):
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["id", "set"])
         _hashes.clear()
+        release_memory()
 
     return run
 
@@ -190,6 +193,7 @@ def _meeting(percent: int):
                     found.append((a.as_py(), b.as_py()))
             x, y = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+        release_memory()
 
     return run
 
@@ -220,13 +224,14 @@ def _near(a: str, b: str, percent: int) -> Column:
 
 
 def _prefixes(sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
-    """(s, id, of): the shingles on which documents of different components (id, of) must meet if they are to be linked."""
+    """(s, id, of, head): the shingles on which documents of different components (id, of) must meet if they are to be linked,
+    and the first few of them in the common order."""
     each = sets.join(of, "id").select("id", "of", F.size("set").alias("n"), F.explode("set").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("df"), F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("s", "df")
     own = each.join(shared, "s").groupBy("id", "of", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("common"))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
-    own = own.withColumn("len", F.size("common") - need + 1).where("len > 0")
-    return own.select("id", "of", F.explode(F.slice("common", F.lit(1), F.col("len"))).alias("c")).select("c.s", "id", "of")
+    own = own.withColumn("len", F.size("common") - need + 1).where("len > 0").select("id", "of", F.slice("common", F.lit(1), F.col("len"))["s"].alias("prefix"))
+    return own.select(F.explode("prefix").alias("s"), "id", "of", F.slice("prefix", 1, HEAD).alias("head"))
 
 
 def _across(rows: DataFrame, known: DataFrame, percent: int, max_group: int) -> DataFrame:
@@ -240,7 +245,10 @@ def _across(rows: DataFrame, known: DataFrame, percent: int, max_group: int) ->
     x = stored(x.withColumn("block", block), "compared").withColumn("other", F.explode(others))
     a, b = x.alias("x"), x.alias("y")
     together = (F.col("x.s") == F.col("y.s")) & (F.col("x.block") == F.col("y.other")) & (F.col("x.other") == F.col("y.block"))
-    pairs = a.join(b, together & (F.col("x.of") != F.col("y.of")) & (F.col("x.id") < F.col("y.id")) & _near("x", "y", percent))
+    # of all shingles that a pair shares, it is taken at the first, unless that is behind both heads
+    shared = F.array_intersect("x.head", "y.head")
+    once = (F.size(shared) == 0) | (F.col("x.s") == F.get(shared, F.lit(0)))
+    pairs = a.join(b, together & (F.col("x.of") != F.col("y.of")) & (F.col("x.id") < F.col("y.id")) & _near("x", "y", percent) & once)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 

@@ -13,37 +13,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattix.functions.canon import canonical
+from lattix.functions.canon import properties
 from lattix.functions.globs import format_ids
 from lattix.functions.text import uri_id
 
 _DEPENDENCY = re.compile(r"(?:([\w-]+)::)?([\w.-]+)=([\w.+-]+)")
 #: The folder below which a path gives a tool's name.
 MARKER = "nf-core"
-TOOL = "path string, module string, description string, tool string, tool_description string, homepage string, registry string, operations array<string>, inputs array<string>, outputs array<string>, package string, version string, error string"
+TOOL = "path string, module string, description string, tool string, tool_description string, homepage string, registry string, operations array<string>, inputs array<string>, outputs array<string>, package string, version string, error string, pos int"
 
 
 def walk(section: Any) -> Iterator[dict]:
-    """All mappings inside an irregular nesting of lists and mappings."""
-    if isinstance(section, dict):
-        yield section
-        section = list(section.values())
-    if isinstance(section, list):
-        for x in section:
-            yield from walk(x)
+    """All mappings inside an irregular nesting of lists and mappings, but for what ontology entries hold."""
+    todo = [section]
+    while todo:
+        x = todo.pop(0)
+        if isinstance(x, dict):
+            yield x
+            todo = [v for k, v in x.items() if k != "ontologies"] + todo
+        elif isinstance(x, list):
+            todo = x + todo
 
 
 def section_types(section: Any) -> list[str]:
-    """Ontology uris, else formats of file patterns, of an input or output section."""
-    out: dict[str, None] = {}
-    for d in walk(section):
-        terms = d.get("ontologies")
-        for t in terms if isinstance(terms, list) else []:
-            if isinstance(t, dict):
-                out |= {v: None for v in t.values() if isinstance(v, str) and "/" in v}
-        if isinstance(p := d.get("pattern"), str) and p:
-            out |= {f: None for f in format_ids(p)}
-    return list(out)
+    """Ontology uris (of the one key that names the ontology in use), else formats of file patterns, of an input or output section."""
+    found = list(walk(section))
+    uris = [t["edam"] for d in found if isinstance(d.get("ontologies"), list) for t in d["ontologies"] if isinstance(t, dict) and isinstance(t.get("edam"), str) and t["edam"]]
+    formats = [f for d in found if isinstance(p := d.get("pattern"), str) and p for f in format_ids(p)]
+    return list(dict.fromkeys(uris + formats))
 
 
 def package_of(dependencies: list, tool: str, alone: bool) -> tuple[str, str] | None:
@@ -70,9 +67,9 @@ def _rows(path: str, manifest: bytes, environment: bytes | None) -> list[tuple]:
         meta = yaml.safe_load(manifest)
         deps = ((yaml.safe_load(environment) or {}).get("dependencies") or []) if environment else []
         if not isinstance(meta, dict) or not meta.get("name"):
-            return [(path, *empty, "no name")]
+            return [(path, *empty, "no name", 0)]
     except (yaml.YAMLError, UnicodeDecodeError) as e:
-        return [(path, *empty, str(e)[:200])]
+        return [(path, *empty, str(e)[:200], 0)]
     entries = meta.get("tools") if isinstance(meta.get("tools"), list) else []
     tools = [(str(n), d if isinstance(d, dict) else {}) for t in entries if isinstance(t, dict) for n, d in t.items() if n]
     io = section_types(meta.get("input")), section_types(meta.get("output"))
@@ -86,7 +83,7 @@ def _rows(path: str, manifest: bytes, environment: bytes | None) -> list[tuple]:
         terms = [x for x in d.get("edam_operations") or [] if isinstance(x, str)]
         pkg = package_of(deps, shown, len(tools) == 1) or ("", "")
         ident = str(d.get("identifier") or "").removeprefix("biotools:").strip()
-        out.append((path, str(meta["name"]), str(meta.get("description") or "").strip(), shown, str(d.get("description") or ""), str(d.get("homepage") or ""), ident, terms, *io, *pkg, None))
+        out.append((path, str(meta["name"]), str(meta.get("description") or "").strip(), shown, str(d.get("description") or ""), str(d.get("homepage") or ""), ident, terms, *io, *pkg, None, len(out)))
     return out
 
 
@@ -114,14 +111,15 @@ def build_modules(tools: DataFrame, *, ingested_at: str, source: str = "modules"
     t = t.withColumn("shared", shared)
     t = t.withColumn("registry", F.when(F.col("shared") & (F.lower("registry") != F.lower("tool")), "").otherwise(F.col("registry"))).drop("shared")
     t = t.withColumn("module_id", F.concat(F.lit("mod:"), "module"))
-    tail = [F.lit(source).alias("source"), F.col("path").alias("source_url"), F.lit(ingested_at).alias("ingested_at")]
+    tail = [F.lit(source).alias("source"), F.col("path").alias("source_url"), F.lit(ingested_at).alias("ingested_at"), F.struct("path", "pos").alias("src_pos")]
     blank = F.lit("")
-    described = F.udf(lambda d: canonical({"description": d}), "string")
-    about = F.udf(lambda d, h, v, n: canonical({k: x for k, x in (("description", d), ("homepage", h), ("version", v), ("tool_label", n)) if x}), "string")
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    described = properties(description=F.col("description"))
+    about = properties(description=some("tool_description"), homepage=some("homepage"), version=some("version"), tool_label=some("tool"))
     node = lambda df, i, n, k, p, pkg=blank, reg=blank: df.select(i.alias("id"), n.alias("name"), F.lit(k).alias("kind"), p.alias("properties"), pkg.alias("bioconda_pkg"), reg.alias("biotools_id"), *tail)
     m = t.where("method_id is not null")
-    entity = node(t.dropDuplicates(["path"]), F.col("module_id"), F.col("module"), "Module", described("description"))
-    entity = entity.unionByName(node(m, F.col("method_id"), F.col("tool"), "Method", about("tool_description", "homepage", "version", "tool"), F.col("package"), F.col("registry")))
+    entity = node(t.where("pos = 0"), F.col("module_id"), F.col("module"), "Module", described)
+    entity = entity.unionByName(node(m, F.col("method_id"), F.col("tool"), "Method", about, F.col("package"), F.col("registry")))
     edge = lambda df, a, b, k: df.select(F.col(a).alias("from_id"), F.col(b).alias("to_id"), F.lit(k).alias("kind"), F.lit("{}").alias("properties"), *tail).distinct()
     rel = edge(m, "module_id", "method_id", "WRAPS")
     ops = m.select("*", F.explode("operations").alias("uri")).withColumn("to_id", uri_id(F.col("uri"))).where("to_id like 'op:%'")
@@ -131,7 +129,7 @@ def build_modules(tools: DataFrame, *, ingested_at: str, source: str = "modules"
         x = x.withColumn("to_id", F.when(F.col("type").startswith("fmt:"), F.col("type")).otherwise(uri_id(F.col("type")))).where("to_id like 'fmt:%' or to_id like 'data:%'")
         rel = rel.unionByName(edge(x, "method_id", "to_id", kind))
     made = rel.where("to_id like 'fmt:pat:%'").select("to_id").distinct()
-    ending = F.concat(F.lit("."), F.substring_index("to_id", ":", -1))
-    pattern = F.udf(lambda e: canonical({"pattern": e}), "string")
-    formats = made.select(F.col("to_id").alias("id"), ending.alias("name"), F.lit("Format").alias("kind"), pattern(ending).alias("properties"), blank.alias("bioconda_pkg"), blank.alias("biotools_id"), F.lit(source).alias("source"), F.lit("file patterns").alias("source_url"), F.lit(ingested_at).alias("ingested_at"))
+    ending = F.substring("to_id", len("fmt:pat:") + 1, 1 << 20)
+    pattern = properties(pattern=ending)
+    formats = made.select(F.col("to_id").alias("id"), ending.alias("name"), F.lit("Format").alias("kind"), pattern.alias("properties"), blank.alias("bioconda_pkg"), blank.alias("biotools_id"), F.lit(source).alias("source"), F.lit("file patterns").alias("source_url"), F.lit(ingested_at).alias("ingested_at"), F.struct(F.lit("").alias("path"), F.lit(0).alias("pos")).alias("src_pos"))
     return entity.unionByName(formats), rel, skipped

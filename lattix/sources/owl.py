@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattix.functions.canon import canonical
+from lattix.functions.canon import properties
 from lattix.plans.runtime import cut
 
 # Names in the files, and the roots of the two ontologies with the kinds below them.
@@ -65,9 +65,19 @@ def parse_ontology(spark: SparkSession, path: str, roots: dict[str, str], *, ing
     placed = classify(edges, starts).join(named.withColumnRenamed("uri", "root").join(tops, "local").select("root", "kind"), "root")
     kept = classes.where("not deprecated and label <> ''").join(placed.select(F.col("id").alias("uri"), "kind"), "uri")
     kept = kept.withColumn("id", F.concat(F.lit("obo:"), local(F.col("uri"))))
-    props = F.udf(lambda uri, syn: canonical({"uri": uri, "ontology": source, "synonyms": syn} if syn else {"uri": uri, "ontology": source}), "string")
+    props = properties(uri=F.col("uri"), ontology=F.lit(source), synonyms=F.when(F.size("synonyms") > 0, F.col("synonyms")))
     tail = [F.lit(source).alias("source"), F.lit(source_url).alias("source_url"), F.lit(ingested_at).alias("ingested_at")]
-    entity = kept.select("id", F.col("label").alias("name"), "kind", props("uri", "synonyms").alias("properties"), F.lit("").alias("bioconda_pkg"), F.lit("").alias("biotools_id"), *tail)
+    entity = kept.select("id", F.col("label").alias("name"), "kind", props.alias("properties"), F.lit("").alias("bioconda_pkg"), F.lit("").alias("biotools_id"), *tail)
     up = kept.select(F.col("id").alias("from_id"), F.explode("parents").alias("parent")).join(kept.select(F.col("uri").alias("parent"), F.col("id").alias("to_id")), "parent")
     rel = up.select("from_id", "to_id", F.lit("IS_A").alias("kind"), F.lit("{}").alias("properties"), *tail).distinct()
     return entity.orderBy("id"), rel.orderBy("from_id", "to_id")
+
+
+def parse_stato(spark: SparkSession, path: str, *, ingested_at: str) -> tuple[DataFrame, DataFrame]:
+    """The statistical methods of a STATO file."""
+    return parse_ontology(spark, path, STATO_ROOTS, ingested_at=ingested_at, source="STATO", source_url=path)
+
+
+def parse_obi(spark: SparkSession, path: str, *, ingested_at: str) -> tuple[DataFrame, DataFrame]:
+    """The assays, protocols, study designs, instruments and materials of an OBI file."""
+    return parse_ontology(spark, path, OBI_ROOTS, ingested_at=ingested_at, source="OBI", source_url=path)

@@ -49,12 +49,20 @@ def test_answers():
 
 
 def test_globs():
-    assert globs.format_ids("*.{fastq,fq}.gz") == ["fmt:format_1930"] and globs.format_ids("*.bam|*.SAM") == ["fmt:format_2572", "fmt:format_2573"]
-    assert globs.format_ids("x*.own") == ["fmt:pat:own"] and globs.format_ids("*_[12].vcf.gz") == ["fmt:format_3016"] and globs.format_ids("*") == []
+    one = {
+        "*.bam": "fmt:format_2572", "*.vcf.gz": "fmt:format_3016", "*.fastq.gz": "fmt:format_1930", "*.BAM": "fmt:format_2572", "sample_*.bam": "fmt:format_2572", "*.sf": "fmt:pat:.sf", "*.xyz": "fmt:pat:.xyz",
+        "*.{bam}": "fmt:format_2572", "*.{fastq,fq}.gz": "fmt:format_1930", "*_fastqc.html": "fmt:format_2331", "*.${prefix}.{gtf}": "fmt:format_2306", "*.gff3": "fmt:format_1975", "*.fasta[.gz]": "fmt:format_1929",
+        "*_[12].vcf.gz": "fmt:format_3016", "*": "fmt:pat:.", "x*..own": "fmt:pat:.own",
+    }
+    for pattern, want in one.items():
+        assert globs.format_ids(pattern) == [want], pattern
+    assert globs.format_ids("*.{bam,cram,sam}") == ["fmt:format_2572", "fmt:format_3462", "fmt:format_2573"] and globs.format_ids("*.bam|*.SAM") == ["fmt:format_2573"]
+    assert globs.format_ids("*.bai|csi|crai") == ["fmt:format_3327", "fmt:pat:.csi", "fmt:pat:.crai"]
+    assert set(globs.choices("a{b,{c,d}}{e|f}")) == {"abe", "abf", "ace", "acf", "ade", "adf"}
 
 
 def test_manifest_helpers():
-    assert section_types([[{"x": {"pattern": "*.bam", "ontologies": [{"edam": "http://edam/format_1"}]}}]]) == ["http://edam/format_1", "fmt:format_2572"]
+    assert section_types([[{"x": {"pattern": "*.bam", "ontologies": [{"edam": "http://edam/format_1", "other": "http://o/x", "deep": {"pattern": "*.no"}}]}}]]) == ["http://edam/format_1", "fmt:format_2572"]
     assert package_of(["bioconda::samtools=1.2", "conda-forge::r=4"], "Samtools", False) == ("samtools", "1.2") and package_of(["bioconda::x=1"], "y", False) is None and package_of(["bioconda::x=1"], "y", True) == ("x", "1")
     assert tool_from_path("/a/nf-core/bcftools/sort/meta.yml") == "bcftools" and tool_from_path("/a/nf-core/fastqc/meta.yml") == "" and tool_from_path("/a/b/meta.yml") == ""
     assert module_paths('{"repos": {"u": {"modules": {"o": {"b": {}, "a": {}}}}}}') == ["a", "b"]

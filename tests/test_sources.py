@@ -48,9 +48,9 @@ def test_modules(spark, tmp_path):
     put("broken", "name: [\n")
     t = modules.read_modules(spark, str(tmp_path))
     e, r, skipped = modules.build_modules(t, ingested_at="d")
-    assert rows(e, "id", "bioconda_pkg", "biotools_id") == [("fmt:pat:own", "", ""), ("m:a", "", "a"), ("m:b", "", ""), ("m:bcftools", "bcftools", "bcftools"), ("mod:bcftools_sort", "", ""), ("mod:two", "", "")]
+    assert rows(e, "id", "bioconda_pkg", "biotools_id") == [("fmt:pat:.own", "", ""), ("m:a", "", "a"), ("m:b", "", ""), ("m:bcftools", "bcftools", "bcftools"), ("mod:bcftools_sort", "", ""), ("mod:two", "", "")]
     assert rows(r, "from_id", "kind", "to_id") == [
-        ("m:bcftools", "INPUT", "fmt:format_3016"), ("m:bcftools", "OUTPUT", "fmt:pat:own"), ("m:bcftools", "PERFORMS", "op:operation_3"), ("mod:bcftools_sort", "WRAPS", "m:bcftools"), ("mod:two", "WRAPS", "m:a"), ("mod:two", "WRAPS", "m:b"),
+        ("m:bcftools", "INPUT", "fmt:format_3016"), ("m:bcftools", "OUTPUT", "fmt:pat:.own"), ("m:bcftools", "PERFORMS", "op:operation_3"), ("mod:bcftools_sort", "WRAPS", "m:bcftools"), ("mod:two", "WRAPS", "m:a"), ("mod:two", "WRAPS", "m:b"),
     ]
     assert skipped.count() == 1 and ("package", "bcftools") in rows(registry.wanted_ids(t.where("error is null")))
 

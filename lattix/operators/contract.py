@@ -14,28 +14,38 @@ from lattix.operators.traverse import of_kind
 DIMENSIONS = ["min_replicates_per_group", "min_peptides_per_protein"]
 
 
-def contract_rows(entity: DataFrame, rel: DataFrame) -> DataFrame:
-    """One row per path: method_id, source, assumption_id, assumption, via_id, via, evidence, and the diagnostic with its
-    checkable phase, scope and floors (null without one)."""
-    names = entity.select("id", "name")
+def _edges(rel: DataFrame, kind: str, a: str, b: str) -> DataFrame:
+    return of_kind(rel, kind).select(F.col("from_id").alias(a), F.col("to_id").alias(b))
+
+
+def _requirements(rel: DataFrame) -> DataFrame:
+    """(stat_id, assumption_id, evidence)"""
     evidence = F.coalesce(F.get_json_object("properties", "$.evidence"), F.lit(""))
-    requires = of_kind(rel, "REQUIRES_ASSUMPTION").select(F.col("from_id").alias("stat_id"), F.col("to_id").alias("assumption_id"), evidence.alias("evidence"))
-    uses = of_kind(rel, "USES_STATISTICAL_METHOD").select(F.col("from_id").alias("method_id"), F.col("to_id").alias("stat_id")).distinct()
-    used = uses.join(requires, "stat_id").select("method_id", F.lit("used").alias("source"), "assumption_id", F.col("stat_id").alias("via_id"), "evidence")
-    performs = of_kind(rel, "PERFORMS").select(F.col("from_id").alias("method_id"), F.col("to_id").alias("op_id")).distinct()
-    amenable = of_kind(rel, "AMENABLE_TO").select(F.col("from_id").alias("op_id"), F.col("to_id").alias("stat_id"))
-    # few operations: their assumptions are gathered before the methods come in
-    by_op = amenable.join(requires, "stat_id").select("op_id", "assumption_id", "evidence").distinct()
-    allowed = performs.join(by_op, "op_id").select("method_id", F.lit("amenable").alias("source"), "assumption_id", F.col("op_id").alias("via_id"), "evidence")
-    paths = used.unionByName(allowed).join(names.select(F.col("id").alias("via_id"), F.col("name").alias("via")), "via_id")
-    paths = paths.join(names.select(F.col("id").alias("assumption_id"), F.col("name").alias("assumption")), "assumption_id")
+    return of_kind(rel, "REQUIRES_ASSUMPTION").select(F.col("from_id").alias("stat_id"), F.col("to_id").alias("assumption_id"), evidence.alias("evidence"))
+
+
+def _diagnostics(entity: DataFrame, rel: DataFrame) -> DataFrame:
+    """(assumption_id, diagnostic_id, diagnostic, checkable, scope and floors) of every check."""
     number = lambda k: F.get_json_object("properties", f"$.{k}").cast("long").alias(k)
     text = lambda k, n: F.coalesce(F.get_json_object("properties", f"$.{k}"), F.lit("")).alias(n)
-    diagnostics = of_kind(entity, "Diagnostic").select(
+    about = of_kind(entity, "Diagnostic").select(
         F.col("id").alias("diagnostic_id"), F.col("name").alias("diagnostic"), text("checkable", "checkable"), text("applies_to_assumption", "scope"), *map(number, DIMENSIONS)
     )
-    checked = of_kind(rel, "CHECKED_BY").select(F.col("from_id").alias("assumption_id"), F.col("to_id").alias("diagnostic_id")).distinct()
-    return paths.join(checked.join(diagnostics, "diagnostic_id"), "assumption_id", "left")
+    return _edges(rel, "CHECKED_BY", "assumption_id", "diagnostic_id").distinct().join(about, "diagnostic_id")
+
+
+def contract_rows(entity: DataFrame, rel: DataFrame) -> DataFrame:
+    """One row per path and diagnostic: method_id, source, assumption_id, assumption, via_id, via, evidence, and the diagnostic
+    with its checkable phase, scope and floors (null without one).  ``contracts`` gives the same folded, without these rows."""
+    names = entity.select("id", "name")
+    requires = _requirements(rel)
+    uses = _edges(rel, "USES_STATISTICAL_METHOD", "method_id", "stat_id").distinct()
+    used = uses.join(requires, "stat_id").select("method_id", F.lit("used").alias("source"), "assumption_id", F.col("stat_id").alias("via_id"), "evidence")
+    by_op = _edges(rel, "AMENABLE_TO", "op_id", "stat_id").join(requires, "stat_id").select("op_id", "assumption_id", "evidence").distinct()
+    allowed = _edges(rel, "PERFORMS", "method_id", "op_id").distinct().join(by_op, "op_id").select("method_id", F.lit("amenable").alias("source"), "assumption_id", F.col("op_id").alias("via_id"), "evidence")
+    paths = used.unionByName(allowed).join(names.select(F.col("id").alias("via_id"), F.col("name").alias("via")), "via_id")
+    paths = paths.join(names.select(F.col("id").alias("assumption_id"), F.col("name").alias("assumption")), "assumption_id")
+    return paths.join(_diagnostics(entity, rel), "assumption_id", "left")
 
 
 def phase_of(rank):
@@ -46,28 +56,41 @@ def rank_of(phase):
     return F.when(phase == "pre_run", 2).when(phase == "post_run", 1).otherwise(0)
 
 
-def fold_contract(rows: DataFrame, owner: str = "method_id") -> DataFrame:
-    """One row per owner, assumption and source.  A phase is the best of the diagnostics'; a floor is the strictest of
-    those whose scope is empty or this very assumption; evidence is the first that is there, by the via name."""
-    rows = rows.withColumn("fits", F.col("diagnostic_id").isNotNull() & ((F.col("scope") == "") | (F.col("scope") == F.col("assumption_id"))))
-    return (
-        rows.groupBy(owner, "assumption_id", "source")
-        .agg(
-            F.min("assumption").alias("assumption"),
-            F.coalesce(F.min_by("evidence", F.when(F.col("evidence") != "", F.struct("via", "evidence"))), F.lit("")).alias("evidence"),
-            F.array_sort(F.collect_set("via")).alias("via"),
-            F.max(rank_of(F.col("checkable"))).alias("rank"),
-            F.array_sort(F.collect_set("diagnostic_id")).alias("diagnostics"),
-            *(F.max(F.when(F.col("fits"), F.col(d))).alias(d) for d in DIMENSIONS),
-        )
-        .withColumn("checkable", phase_of(F.col("rank")))
-        .drop("rank")
+def checks(entity: DataFrame, rel: DataFrame) -> DataFrame:
+    """One row per assumption that has diagnostics: rank of the best phase, the diagnostics in order, and as a floor the
+    strictest of those whose scope is empty or this very assumption."""
+    fits = (F.col("scope") == "") | (F.col("scope") == F.col("assumption_id"))
+    return _diagnostics(entity, rel).groupBy("assumption_id").agg(
+        F.max(rank_of(F.col("checkable"))).alias("rank"), F.array_sort(F.collect_set("diagnostic_id")).alias("diagnostics"), *(F.max(F.when(fits, F.col(d))).alias(d) for d in DIMENSIONS)
+    )
+
+
+def contracts(entity: DataFrame, rel: DataFrame) -> DataFrame:
+    """One row per method_id, assumption_id and source: assumption, evidence (the first that is there, by the via name), via,
+    diagnostics, floors and checkable.  What depends on an operation or an assumption alone is folded before the methods
+    come in, so a method meets one row for each and no text of a diagnostic is shuffled with it."""
+    names = entity.select("id", "name")
+    named = lambda df, key, n: df.join(names.select(F.col("id").alias(key), F.col("name").alias(n)), key)
+    requires = _requirements(rel)
+    first = lambda *c: F.min(F.when(F.col("evidence") != "", F.struct(*c)))
+    uses = _edges(rel, "USES_STATISTICAL_METHOD", "method_id", "stat_id").distinct()
+    used = uses.join(named(requires, "stat_id", "via"), "stat_id").select("method_id", F.lit("used").alias("source"), "assumption_id", "via", "evidence")
+    by_op = _edges(rel, "AMENABLE_TO", "op_id", "stat_id").join(requires, "stat_id").groupBy("op_id", "assumption_id").agg(F.coalesce(first("evidence")["evidence"], F.lit("")).alias("evidence"))
+    allowed = _edges(rel, "PERFORMS", "method_id", "op_id").distinct().join(named(by_op, "op_id", "via"), "op_id").select("method_id", F.lit("amenable").alias("source"), "assumption_id", "via", "evidence")
+    folded = used.unionByName(allowed).groupBy("method_id", "assumption_id", "source").agg(
+        F.coalesce(first("via", "evidence")["evidence"], F.lit("")).alias("evidence"), F.array_sort(F.collect_set("via")).alias("via")
+    )
+    folded = named(folded, "assumption_id", "assumption").join(checks(entity, rel), "assumption_id", "left")
+    none = F.array().cast("array<string>")
+    return folded.select(
+        "method_id", "assumption_id", "source", "assumption", "evidence", "via", F.coalesce("diagnostics", none).alias("diagnostics"), *DIMENSIONS, phase_of(F.coalesce("rank", F.lit(0))).alias("checkable")
     )
 
 
-def diagnostics_of(rows: DataFrame) -> DataFrame:
+def diagnostics_of(contracts: DataFrame) -> DataFrame:
     """(method_id, diagnostic_id, checks): what each diagnostic checks, per method."""
-    return rows.where("diagnostic_id is not null").groupBy("method_id", "diagnostic_id").agg(F.array_sort(F.collect_set("assumption")).alias("checks"))
+    x = contracts.select("method_id", "assumption", F.explode("diagnostics").alias("diagnostic_id"))
+    return x.groupBy("method_id", "diagnostic_id").agg(F.array_sort(F.collect_set("assumption")).alias("checks"))
 
 
 def merge_contracts(contracts: DataFrame, members: DataFrame, owner: str = "skill_id") -> DataFrame:

@@ -121,9 +121,15 @@ def resolve_keywords(entity: DataFrame, rel: DataFrame, keywords: list[str]) ->
     return first.select(F.row_number().over(Window.orderBy("at.kw", "at.branch", "id")).alias("ord"), "id")
 
 
-def neighbourhood(entity: DataFrame, rel: DataFrame) -> DataFrame:
+BUCKETS = {"operations": "PERFORMS", "packages": "PACKAGED_AS", "inputs": "INPUT", "outputs": "OUTPUT", "statistics": "USES_STATISTICAL_METHOD"}
+
+
+def neighbourhood(entity: DataFrame, rel: DataFrame, *, direct: bool = False) -> DataFrame:
     """(method_id, bucket, id, name, via, evidence) of every method: what it performs, is packaged as, reads and writes,
-    its statistics with their evidence, the assumptions they bring, and the statistics that its operations allow."""
+    its statistics with their evidence, and, unless only ``direct`` neighbours are asked for, the assumptions they bring
+    and the statistics that its operations allow.  What comes by several ways is listed once, with all the names it came
+    through.  Names and evidence of the allowed statistics are put together by operation; a method with one operation
+    takes them over as they are, and only those with several are grouped."""
     evidence = F.coalesce(F.get_json_object("properties", "$.evidence"), F.lit(""))
     names = entity.select("id", "name")
     method = of_kind(entity, "Method").select(F.col("id").alias("method_id"))
@@ -131,26 +137,28 @@ def neighbourhood(entity: DataFrame, rel: DataFrame) -> DataFrame:
     def hop(kind: str, a: str, b: str) -> DataFrame:
         return of_kind(rel, kind).select(F.col("from_id").alias(a), F.col("to_id").alias(b), evidence.alias("evidence"))
 
-    out = []
-    for bucket, kind in (("operations", "PERFORMS"), ("packages", "PACKAGED_AS"), ("inputs", "INPUT"), ("outputs", "OUTPUT")):
-        out.append(hop(kind, "method_id", "id").select("method_id", F.lit(bucket).alias("bucket"), "id", F.lit("").alias("via"), F.lit("").alias("evidence")))
-    uses = hop("USES_STATISTICAL_METHOD", "method_id", "id")
-    out.append(uses.select("method_id", F.lit("statistics").alias("bucket"), "id", F.lit("").alias("via"), "evidence"))
+    cols = ["method_id", "bucket", "id", "name", "via", "evidence"]
+    bucket = F.lit(None).cast("string")
+    for b, kind in BUCKETS.items():
+        bucket = F.when(F.col("kind") == kind, b).otherwise(bucket)
+    shown = F.when(F.col("kind") == "USES_STATISTICAL_METHOD", evidence).otherwise("")
+    near = of_kind(rel, *BUCKETS.values()).select(F.col("from_id").alias("method_id"), bucket.alias("bucket"), F.col("to_id").alias("id"), shown.alias("evidence"))
+    near = near.join(method, "method_id", "left_semi").groupBy("method_id", "bucket", "id").agg(F.max("evidence").alias("evidence")).join(names, "id")
+    near = near.withColumn("via", F.lit("")).select(cols)
+    if direct:
+        return near
+    via = lambda: F.array_join(F.array_sort(F.collect_set(F.nullif("via", F.lit("")))), "|").alias("via")
+    listed = lambda df, b: df.groupBy("method_id", "id", "name").agg(via(), F.max("evidence").alias("evidence")).withColumn("bucket", F.lit(b)).select(cols)
     stat = names.select(F.col("id").alias("stat"), F.col("name").alias("via"))
-    requires = hop("REQUIRES_ASSUMPTION", "stat", "id")
-    used = uses.select("method_id", F.col("id").alias("stat")).distinct().join(requires, "stat").join(stat, "stat")
-    out.append(used.select("method_id", F.lit("assumptions").alias("bucket"), "id", "via", "evidence"))
+    uses = hop("USES_STATISTICAL_METHOD", "method_id", "stat").select("method_id", "stat").distinct().join(method, "method_id", "left_semi")
+    used = uses.join(hop("REQUIRES_ASSUMPTION", "stat", "id").join(stat, "stat").join(names, "id"), "stat")
+    performs = hop("PERFORMS", "method_id", "op").select("method_id", "op").distinct().join(method, "method_id", "left_semi")
+    several = performs.groupBy("method_id").agg(F.count("*").alias("n_ops"), F.min("op").alias("op"))
     op = names.select(F.col("id").alias("op"), F.col("name").alias("via"))
-    allowed = hop("PERFORMS", "method_id", "op").select("method_id", "op").distinct().join(hop("AMENABLE_TO", "op", "id"), "op").join(op, "op")
-    out.append(allowed.select("method_id", F.lit("amenable").alias("bucket"), "id", "via", "evidence"))
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    every = every.join(names, "id").join(method, "method_id", "left_semi")
-    # what comes by several ways is listed once, with all the names it came through
-    return every.groupBy("method_id", "bucket", "id", "name").agg(
-        F.array_join(F.array_sort(F.collect_set(F.nullif("via", F.lit("")))), "|").alias("via"), F.max("evidence").alias("evidence")
-    )
+    allowed = hop("AMENABLE_TO", "op", "id").groupBy("op", "id").agg(F.max("evidence").alias("evidence")).join(op, "op").join(names, "id")
+    one = several.where("n_ops = 1").join(allowed, "op").withColumn("bucket", F.lit("amenable")).select(cols)
+    more = performs.join(several.where("n_ops > 1").select("method_id"), "method_id", "left_semi").join(allowed, "op")
+    return near.unionByName(listed(used, "assumptions")).unionByName(one).unionByName(listed(more, "amenable"))
 
 
 def skill_methods(rel: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from lattix.graph import MethodsGraph
+from lattix.graph import PropertyGraph
 
 CODES = {"EVALUABLE": 0, "BLOCKED": 3, "NOT_EVALUABLE": 4, "FACTS_REQUIRED": 5}
 
@@ -47,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("hash")
     sub.add_parser("export-kgx").add_argument("out")
     a = p.parse_args(argv)
-    graph = MethodsGraph.open(SparkSession.builder.getOrCreate(), a.graph)
+    graph = PropertyGraph.open(SparkSession.builder.getOrCreate(), a.graph)
     show = lambda df: [print(json.dumps(r.asDict(recursive=True))) for r in df.toLocalIterator()]
     if a.command == "query":
         for line in graph.context_lines(graph.resolve_method_ids(a.keywords), a.k_hops):

@@ -12,12 +12,12 @@ from lattix.sources import kgx
 from lattix.sources.store import read_graph, write_graph
 
 
-class MethodsGraph:
+class PropertyGraph:
     def __init__(self, spark: SparkSession, entity: DataFrame, rel: DataFrame):
         self.spark, self.entity, self.rel = spark, entity, rel
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> MethodsGraph:
+    def open(cls, spark: SparkSession, path: str) -> PropertyGraph:
         return cls(spark, *read_graph(spark, path))
 
     def save(self, path: str) -> dict[str, int]:
@@ -55,7 +55,7 @@ class MethodsGraph:
             raise KeyError(id_)
 
     def contracts(self) -> DataFrame:
-        return contract.fold_contract(contract.contract_rows(self.entity, self.rel))
+        return contract.contracts(self.entity, self.rel)
 
     def method_preconditions(self, method_id: str) -> DataFrame:
         self._known(method_id)
@@ -86,7 +86,7 @@ class MethodsGraph:
     def catalogue(self) -> DataFrame:
         """One record per method: its operations as tags, what it reads and writes by name, its first container, and how
         reproducible and documented that makes it."""
-        n = traverse.neighbourhood(self.entity, self.rel)
+        n = traverse.neighbourhood(self.entity, self.rel, direct=True)
         named = lambda b: F.array_sort(F.collect_set(F.when(F.col("bucket") == b, F.col("name")))).alias(b)
         per = n.groupBy("method_id").agg(named("operations"), named("inputs"), named("outputs"), F.min(F.when(F.col("bucket") == "packages", F.struct("id", "name")))["name"].alias("container"))
         m = traverse.of_kind(self.entity, "Method").select(F.col("id").alias("method_id"), "name", F.get_json_object("properties", "$.description").alias("description"))
@@ -99,8 +99,10 @@ class MethodsGraph:
     def coverage(self) -> DataFrame:
         return audit.coverage(self.entity, self.rel)
 
-    def fingerprint(self) -> str:
-        return fingerprint.graph_fingerprint(self.entity, self.rel).first()["fingerprint"]
+    def fingerprint(self, *, runs: bool = False) -> str:
+        """The digest of all sorted lines, which one task makes; with ``runs`` another one, for graphs of any size."""
+        digest = fingerprint.graph_runs_fingerprint if runs else fingerprint.graph_fingerprint
+        return digest(self.entity, self.rel).first()["fingerprint"]
 
     def export_kgx(self, path: str) -> dict[str, int]:
         return kgx.export_kgx(self.entity, self.rel, path)

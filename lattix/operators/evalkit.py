@@ -69,18 +69,22 @@ def project_edges(edges: DataFrame, modules: DataFrame) -> tuple[DataFrame, Data
     return x.join(back, ["item", "from_id", "to_id"], "left_anti"), x.join(back, ["item", "from_id", "to_id"], "left_semi").groupBy("item").agg(F.count("*").alias("contradictions"))
 
 
-def equivalence_pairs(operations: DataFrame, inputs: DataFrame, bridging: Iterable[str] = BRIDGING) -> DataFrame:
-    """(a, b), a < b: methods with a common operation that isn't a bridging one, and a common input."""
+def equivalence_classes(operations: DataFrame, inputs: DataFrame, bridging: Iterable[str] = BRIDGING) -> DataFrame:
+    """(op, data, method_id): methods with a common operation that isn't a bridging one, and a common input, are equivalent.
+    One row per method and class; the pairs are not made."""
     ops = operations.select("method_id", "op").where(~F.col("op").isin(list(bridging))).distinct()
-    both = ops.join(inputs.select("method_id", "data").distinct(), "method_id")
-    # methods with the same operation and input meet on both keys at once; no pair is made that isn't one
-    a, b = both.select("op", "data", F.col("method_id").alias("a")), both.select("op", "data", F.col("method_id").alias("b"))
-    x = a.join(b, ["op", "data"]).where("a < b").select("a", "b").distinct()
-    return x
+    return ops.join(inputs.select("method_id", "data").distinct(), "method_id").select("op", "data", "method_id")
 
 
-def pairs_by_operation_and_input(operations: DataFrame, inputs: DataFrame, bridging: Iterable[str] = BRIDGING) -> DataFrame:
-    return equivalence_pairs(operations, inputs, bridging)
+def class_sizes(classes: DataFrame) -> DataFrame:
+    """(op, data, n_methods, first_method) of the classes that make two methods equivalent."""
+    return classes.groupBy("op", "data").agg(F.count("*").alias("n_methods"), F.min("method_id").alias("first_method")).where("n_methods > 1")
+
+
+def equivalents_of(classes: DataFrame, methods: DataFrame) -> DataFrame:
+    """(a, b), a <> b: the methods equivalent to each of some (method_id) ones, for which alone pairs are made."""
+    mine = classes.join(methods.select("method_id").distinct(), "method_id", "left_semi").select("op", "data", F.col("method_id").alias("a"))
+    return mine.join(classes.select("op", "data", F.col("method_id").alias("b")), ["op", "data"]).where("a <> b").select("a", "b").distinct()
 
 
 def matched(gold: DataFrame, predicted: DataFrame, same: DataFrame) -> DataFrame:
@@ -90,10 +94,10 @@ def matched(gold: DataFrame, predicted: DataFrame, same: DataFrame) -> DataFrame
 
 
 def matched_by_class(gold: DataFrame, predicted: DataFrame, operations: DataFrame, inputs: DataFrame, bridging: Iterable[str] = BRIDGING) -> DataFrame:
-    """``matched`` with the pairs of ``equivalence_pairs``, of which only those within an item are made: its methods meet
-    on the (operation, input) classes they belong to."""
+    """``matched`` by ``equivalence_classes``: only pairs within an item are made, as its methods meet on the classes that
+    they belong to."""
     used = gold.select("method_id").union(predicted.select("method_id")).distinct()
-    classes = operations.select("method_id", "op").where(~F.col("op").isin(list(bridging))).distinct().join(inputs.select("method_id", "data").distinct(), "method_id").join(used, "method_id", "left_semi")
+    classes = equivalence_classes(operations, inputs, bridging).join(used, "method_id", "left_semi")
     of = lambda df, n: df.select("item", "method_id").distinct().join(classes, "method_id").select("item", "op", "data", F.col("method_id").alias(n))
     return _matching(gold, predicted, of(gold, "a").join(of(predicted, "b"), ["item", "op", "data"]).where("a <> b"))
 

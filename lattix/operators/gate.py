@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from lattix.functions.facts import condition_column, smallest_arm
-from lattix.graph import MethodsGraph
+from lattix.graph import PropertyGraph
 
 # How verdicts become decisions.
 DECISIONS = {"BLOCKED": "deny", "FACTS_REQUIRED": "ask"}
@@ -30,7 +30,7 @@ def workspace_facts(spark: SparkSession, workspace: str) -> dict[str, int]:
     return {}
 
 
-def decide(graph: MethodsGraph, command: str, workspace: str, patterns: dict[str, str]) -> dict | None:
+def decide(graph: PropertyGraph, command: str, workspace: str, patterns: dict[str, str]) -> dict | None:
     """{decision, method_id, status, facts}, or None where there is nothing to say."""
     method = detect(command, patterns)
     if method is None:

@@ -63,8 +63,8 @@ def rescore(results: DataFrame, items: DataFrame, methods: DataFrame, aliases: d
     hit = F.size(F.array_intersect("answer", gold))
     f1 = F.when(F.col("answer").isNotNull() & (F.size(gold) > 0), 2 * hit / (F.size("answer") + F.size(gold)))
     whole, next_ = F.col("task") == "whole", F.col("task") == "next"
-    known = methods.agg(F.collect_set("id").alias("known"))  # one lookup of the graph's methods, which a build bounds
-    x = x.crossJoin(F.broadcast(known)).withColumn("gold_resolved", F.when(next_, F.array_contains("known", F.col("gold.next"))).otherwise(F.size(gold) > 0))
+    known = methods.select(F.col("id").alias("__known")).distinct()
+    x = x.join(known, F.col("gold.next") == F.col("__known"), "left").withColumn("gold_resolved", F.when(next_, F.col("__known").isNotNull()).otherwise(F.size(gold) > 0))
     return x.select(
         "id", "task", "error", "answer", "unresolved", "gold_resolved", F.when(whole, f1).alias("f1"),
         F.when(next_ & F.col("answer").isNotNull(), F.coalesce(F.get("answer", F.lit(0)) == F.col("gold.next"), F.lit(False))).alias("top1"),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.graph import MethodsGraph
+from lattix.functions.canon import from_raw_values, properties, raw_values
+from lattix.graph import PropertyGraph
 from lattix.operators import resolve
 from lattix.operators.traverse import of_kind, without_edges
 from lattix.plans.runtime import cut
@@ -17,35 +18,44 @@ from lattix.sources.store import normalised
 
 
 def gather(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """All parts' tables with ``src_ord``, which follows the order of the parts."""
-    tag = lambda df, cols, k: normalised(df, cols).withColumn("src_ord", F.struct(F.lit(k).alias("part"), F.hash(*cols).alias("h")))
+    """All parts' tables with ``src_ord``, the order of their sources: the part, the file, the place in the file where a reader
+    gives one (``src_pos``, path and position), and the content for what is still equal."""
+
+    def tag(df: DataFrame, cols: list[str], k: int) -> DataFrame:
+        at = F.col("src_pos") if "src_pos" in df.columns else F.struct(F.col("source_url").alias("path"), F.lit(0).alias("pos"))
+        rows = df.select("*", at.alias("__at")) if "source_url" in df.columns or "src_pos" in df.columns else df.withColumn("__at", F.struct(F.lit("").alias("path"), F.lit(0).alias("pos")))
+        return normalised(rows, cols, keep=["__at"]).withColumn("src_ord", F.struct(F.lit(k).alias("part"), "__at.path", "__at.pos", *cols)).drop("__at")
+
     entity = reduce(DataFrame.unionByName, (tag(e, ENTITY_COLUMNS, k) for k, (e, _) in enumerate(parts)))
     rel = reduce(DataFrame.unionByName, (tag(r, REL_COLUMNS, k) for k, (_, r) in enumerate(parts)))
     return entity, rel
 
 
 def merge_flow(rel: DataFrame) -> DataFrame:
-    """Relations with one DOWNSTREAM_OF per pair, attested by all its pipelines."""
+    """Relations with one DOWNSTREAM_OF per pair, attested by all its pipelines; it keeps what else the first one says."""
     flow = of_kind(rel, "DOWNSTREAM_OF")
     p = lambda k: F.get_json_object("properties", f"$.{k}")
     merged = resolve.merge_attestations(flow.select("from_id", "to_id", F.from_json(p("pipelines"), "array<string>").alias("pipelines"), p("confidence").cast("double").alias("confidence"), p("derivation").alias("derivation"), "src_ord"))
-    quoted = F.concat(F.lit('["'), F.array_join("pipelines", '", "'), F.lit('"]'))
-    props = F.concat(F.lit('{"attestations": '), F.col("attestations").cast("string"), F.lit(', "confidence": '), F.col("confidence").cast("string"), F.lit(', "derivation": "'), "derivation", F.lit('", "pipelines": '), quoted, F.lit("}"))
-    first = resolve.first_wins(flow, "from_id", "to_id").drop("properties")
-    out = first.join(merged.select("from_id", "to_id", props.alias("properties")), ["from_id", "to_id"])
+    values = F.to_json(F.struct("attestations", "confidence", "derivation", "pipelines"))
+    merged = merged.select("from_id", "to_id", raw_values(values).alias("merged"))
+    first = resolve.first_wins(flow, "from_id", "to_id").withColumn("own", F.coalesce(raw_values(F.col("properties")), F.expr("cast(map() as map<string,string>)"))).drop("properties")
+    out = first.join(merged, ["from_id", "to_id"])
+    kept = F.map_filter("own", lambda k, _: ~F.map_contains_key("merged", k))
+    out = out.withColumn("properties", from_raw_values(F.map_concat(kept, "merged")))
     return rel.where("kind <> 'DOWNSTREAM_OF'").unionByName(out.select(rel.columns))
 
 
 def resolve_graph(entity: DataFrame, rel: DataFrame, *, ingested_at: str) -> tuple[DataFrame, DataFrame]:
     """One row per id, candidate equivalences, first-wins relations, packages."""
-    methods = of_kind(entity, "Method").withColumn("props", F.from_json("properties", "map<string,string>")).drop("properties", "kind")
-    merged = resolve.hard_merge(methods).withColumn("kind", F.lit("Method")).withColumn("properties", F.coalesce(F.to_json("props"), F.lit("{}")))
+    methods = of_kind(entity, "Method").withColumn("props", raw_values(F.col("properties"))).drop("properties", "kind")
+    empty = F.expr("cast(map() as map<string,string>)")
+    merged = resolve.hard_merge(methods).withColumn("kind", F.lit("Method")).withColumn("properties", from_raw_values(F.coalesce("props", empty)))
     others = resolve.first_wins(entity.where("kind <> 'Method'"), "id")
     entity = cut(normalised(merged, ENTITY_COLUMNS).unionByName(normalised(others, ENTITY_COLUMNS)))
     rel = resolve.first_wins(merge_flow(rel), "from_id", "to_id", "kind")
     tail = [F.lit("resolver").alias("source"), F.lit("derived").alias("source_url"), F.lit(ingested_at).alias("ingested_at")]
     same = resolve.same_as(of_kind(entity, "Method"))
-    props = F.concat(F.lit('{"basis": "'), "basis", F.lit('", "confidence": '), F.col("confidence").cast("string"), F.lit("}"))
+    props = properties(basis=F.col("basis"), confidence=F.col("confidence"))
     same = same.select("from_id", "to_id", F.lit("SAME_AS").alias("kind"), props.alias("properties"), *tail)
     packed = resolve.packaged_as(entity, rel).select("from_id", "to_id", F.lit("PACKAGED_AS").alias("kind"), F.lit("{}").alias("properties"), *tail)
     return entity, normalised(rel, REL_COLUMNS).unionByName(same).unionByName(packed)
@@ -67,14 +77,10 @@ def build(spark, parts: list[tuple[DataFrame, DataFrame]], path: str, *, ingeste
     """Build, store, audit and lock a graph from sources' tables; the report holds counts, the fingerprint and failures."""
     entity, rel = resolve_graph(*gather(parts), ingested_at=ingested_at)
     rel = enrich(entity, rel, ingested_at=ingested_at, **enrichment)
-    counts = MethodsGraph(spark, entity, rel).save(path)
-    graph = MethodsGraph.open(spark, path)
+    counts = PropertyGraph(spark, entity, rel).save(path)
+    graph = PropertyGraph.open(spark, path)
     failures = {r["name"]: r["violations"] for r in graph.audit().where("not ok").collect()}
-    report = {**counts, "fingerprint": graph.fingerprint(), "failures": failures, "ingested_at": ingested_at}
+    report = {**counts, "fingerprint": graph.fingerprint(runs=True), "failures": failures, "ingested_at": ingested_at}
     if lock:
         write_lock(lock, report)
     return report
-
-
-def ordinal(df: DataFrame, *order: str) -> DataFrame:
-    return df.withColumn("src_ord", F.row_number().over(Window.orderBy(*order)))

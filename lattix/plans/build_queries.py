@@ -67,18 +67,18 @@ _METHODS = "m as (select 'm:' || cast(p_partkey as varchar) as id, lower(p_name)
 
 @register(
     "r2_same_as_candidates",
-    f"""with {_METHODS}, g as (select reg from m group by 1 having count(*) between 2 and 3), h as (select name from m group by 1 having count(*) between 2 and 3),
+    f"""with {_METHODS}, g as (select reg from m group by 1 having count(*) between 2 and 8), h as (select name from m group by 1 having count(*) between 2 and 8),
     p as (select a.id as from_id, b.id as to_id, 0.7::double as confidence, 'biotools_id' as basis from m a join m b on a.reg = b.reg and a.id < b.id where a.reg in (select reg from g)
       union all select a.id, b.id, 0.5::double, 'name' from m a join m b on a.name = b.name and a.id < b.id where a.name in (select name from h))
     select from_id, to_id, max(confidence) as confidence, arg_max(basis, confidence) as basis from p group by 1, 2""",
 )
 def _(spark, d):
-    return R.same_as(T.of_kind(graph(spark, d)[0], "Method"), largest=3)
+    return R.same_as(T.of_kind(graph(spark, d)[0], "Method"))
 
 
-@register("r5_large_groups", f"with {_METHODS} select reg as key, count(*) as n from m group by 1 having count(*) > 3")
+@register("r5_large_groups", f"with {_METHODS} select reg as key, count(*) as n from m group by 1 having count(*) > 8")
 def _(spark, d):
-    return R.large_groups(T.of_kind(graph(spark, d)[0], "Method"), F.col("biotools_id"), 3)
+    return R.large_groups(T.of_kind(graph(spark, d)[0], "Method"), F.col("biotools_id"))
 
 
 @register(
@@ -158,19 +158,22 @@ def _(spark, d):
 
 @register(
     "j13_io_overlap",
-    """select distinct a.l_orderkey as pipeline, a.p_brand as a, b.p_brand as b from (select l_orderkey, p_brand, (p_size + 1) % 5 as d from lineitem join part on p_partkey = l_partkey where l_orderkey % 8 = 0) a
-    join (select l_orderkey, p_brand, p_size % 5 as d from lineitem join part on p_partkey = l_partkey where l_orderkey % 8 = 0) b on a.l_orderkey = b.l_orderkey and a.d = b.d and a.p_brand <> b.p_brand""",
+    """select distinct a.l_orderkey as pipeline, a.p_brand as a, b.p_brand as b from (select l_orderkey, p_brand, (p_size + 1) % 5 as d from lineitem join part on p_partkey = l_partkey) a
+    join (select l_orderkey, p_brand, p_size % 5 as d from lineitem join part on p_partkey = l_partkey) b on a.l_orderkey = b.l_orderkey and a.d = b.d and a.p_brand <> b.p_brand""",
 )
 def _(spark, d):
     from lattix.sources.pipelines import io_overlap
 
-    x = star(spark, d, "lineitem").where("l_orderkey % 8 = 0").join(star(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    x = star(spark, d, "lineitem").join(star(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     x = x.select(F.col("l_orderkey").alias("pipeline"), F.col("p_brand").alias("module_id"), (F.col("p_size") % 5).alias("i"), ((F.col("p_size") + 1) % 5).alias("o"))
     return io_overlap(x.select("pipeline", "module_id", F.col("o").alias("data")), x.select("pipeline", "module_id", F.col("i").alias("data")))
 
 
 # ---- audit
 
+#: The closure of edges {e}(a, b) as {n}.
+_RESIDUAL = """{n}(a, b) as (select a, b from {e} union select {n}.a, {e}.b from {n} join {e} on {e}.a = {n}.b)"""
+
 _TYPED = "typed as (select r.*, a.kind as fk, b.kind as tk from rel r left join entity a on a.id = r.from_id left join entity b on b.id = r.to_id)"
 
 
@@ -183,11 +186,6 @@ def audit_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return entity.unionByName(node), rel.unionByName(more)
 
 
-@register("audit_invariants")
-def _(spark, d):
-    return A.invariants(*audit_graph(spark, d))
-
-
 def _ends(kind: str) -> str:
     from lattix.schema import ENDPOINTS
 
@@ -216,6 +214,31 @@ def _checks() -> str:
     )
 
 
+_FAULTS = """all_entity as (select id, name, kind, properties, source, source_url, ingested_at from entity union all
+    select * from (values ('exec:1', 'exec', 'ExecutionSpec', '{}', 'star', 'http://example.org', '2024-01-01'), ('m:1', 'again', 'Method', '{}', 'star', 'http://example.org', '2024-01-01')) v),
+  all_rel as (select from_id, to_id, kind, properties, source, source_url, ingested_at from rel union all select from_id, to_id, kind, '{}', 'star', '', '2024-01-01'
+    from (values ('op:x', 'm:1', 'PERFORMS'), ('m:1', 'pkg:brand-1', 'PACKAGED_AS'), ('mod:brand1', 'mod:brand1', 'DOWNSTREAM_OF'), ('m:2', 'nowhere', 'INPUT')) v(from_id, to_id, kind)),
+  typed as (select r.*, a.kind as fk, b.kind as tk from all_rel r left join all_entity a on a.id = r.from_id left join all_entity b on b.id = r.to_id),
+  flow as (select from_id as a, to_id as b from all_rel where kind = 'DOWNSTREAM_OF' and json_extract_string(properties, '$.derivation') = 'nextflow_dsl2')"""
+
+_MORE_CHECKS = """ union all select 'DOWNSTREAM_OF: attestations', count(*) filter (where not coalesce(len(p) > 0 and list_sort(list_distinct(p)) = p and len(p) = n, false))
+    from (select cast(json_extract(properties, '$.pipelines') as varchar[]) as p, cast(json_extract_string(properties, '$.attestations') as bigint) as n from typed where kind = 'DOWNSTREAM_OF') x
+  union all select 'ExecutionSpec: container', count(*) from all_entity where kind = 'ExecutionSpec' and coalesce(json_extract_string(properties, '$.container'), '') = ''
+  union all select 'ExecutionSpec: reached', count(*) from all_entity where kind = 'ExecutionSpec' and id not in (select to_id from all_rel where kind = 'RUNS_AS')
+  union all select 'DOWNSTREAM_OF: acyclic', count(distinct b) from reach where a in (select a from reach where a = b)"""
+
+
+def _invariants_sql() -> str:
+    checks = _checks().replace("from entity", "from all_entity") + _MORE_CHECKS
+    body = sql_with(f"{_FAULTS}, {_RESIDUAL.format(n='reach', e='flow')}", f"select name, violations::bigint as violations, violations = 0 as ok from ({checks}) x(name, violations)")
+    return body.replace("with entity as", "with recursive entity as", 1)
+
+
+@register("audit_invariants", _invariants_sql())
+def _(spark, d):
+    return A.invariants(*audit_graph(spark, d))
+
+
 @register("audit_typed_checks", sql_with(_TYPED, f"select name, violations, violations = 0 as ok from ({_checks()}) x(name, violations)"))
 def _(spark, d):
     entity, rel = graph(spark, d)
@@ -243,11 +266,11 @@ def _(spark, d):
 
 @register(
     "a5_same_as_basis",
-    f"""with {_METHODS}, g as (select reg from m group by 1 having count(*) between 2 and 3), p as (select case when a.id like '%1' then 'unknown' else 'biotools_id' end as basis from m a join m b on a.reg = b.reg and a.id < b.id where a.reg in (select reg from g))
+    f"""with {_METHODS}, g as (select reg from m group by 1 having count(*) between 2 and 8), p as (select case when a.id like '%1' then 'unknown' else 'biotools_id' end as basis from m a join m b on a.reg = b.reg and a.id < b.id where a.reg in (select reg from g))
     select basis, count(*) as n from p group by 1""",
 )
 def _(spark, d):
-    p = R.pairs_sharing(T.of_kind(graph(spark, d)[0], "Method"), F.col("biotools_id"), 0.7, "biotools_id", 3)
+    p = R.pairs_sharing(T.of_kind(graph(spark, d)[0], "Method"), F.col("biotools_id"), 0.7, "biotools_id")
     props = F.when(F.col("from_id").endswith("1"), "{}").otherwise(F.concat(F.lit('{"basis": "'), "basis", F.lit('"}')))
     return A.same_as_basis(p.select("from_id", "to_id", F.lit("SAME_AS").alias("kind"), props.alias("properties")))
 
@@ -273,7 +296,14 @@ def _(spark, d):
     return ordered_digest(lines_of_entities(graph(spark, d)[0]))
 
 
-@register("a8_graph_fingerprint")
+_LINES = """el as (select id || '|' || name || '|' || kind || '|' || properties || '|' || bioconda_pkg || '|' || biotools_id as line from entity),
+  rl as (select from_id || '|' || to_id || '|' || kind || '|' || properties as line from rel where kind <> 'HAS_MODULE')"""
+
+
+@register(
+    "a8_graph_fingerprint",
+    sql_with(_LINES, "select 'sha256:' || sha256((select string_agg(line, chr(10) order by line) from el) || chr(10) || '==EDGES==' || chr(10) || (select string_agg(line, chr(10) order by line) from rl)) as fingerprint"),
+)
 def _(spark, d):
     from lattix.operators.fingerprint import graph_fingerprint
 
@@ -317,7 +347,11 @@ def _(spark, d):
     return A.over_merged(part_records(spark, d))
 
 
-@register("g4_cycle_residual")
+@register(
+    "g4_cycle_residual",
+    f"""with recursive {_TRANS}, e as (select a, b from t group by 1, 2 having count(distinct user_id) > 5), {_RESIDUAL.format(n="reach", e="e")}
+    select distinct b as id from reach where a in (select a from reach where a = b)""",
+)
 def _(spark, d):
     t = transitions(spark, d).groupBy("a", "b").agg(F.count_distinct("user_id").alias("n"))
     return A.cycle_residual(t.where("n > 5").select("a", "b"))
@@ -368,7 +402,7 @@ def _(spark, d):
 
 def workflows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders as workflows: a line is a step, its artifacts are numbered by line."""
-    line = star(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    line = star(spark, d, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     line = line.join(star(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("step_ord", F.row_number().over(w))
     c = lambda p, x: F.concat(F.lit(p), x.cast("string"))
@@ -384,7 +418,7 @@ def workflows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     return steps, artifacts, decisions
 
 
-_WORKFLOW = """ln as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)::int as step_ord from lineitem join part on p_partkey = l_partkey where l_orderkey % 50 = 0),
+_WORKFLOW = """ln as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)::int as step_ord from lineitem join part on p_partkey = l_partkey),
   st as (select 'wf:' || l_orderkey as workflow, step_ord, 's' || step_ord as step_id, case when l_suppkey % 11 = 0 then 'm:gone' else 'm:' || l_partkey end as method_id,
     case when l_suppkey % 3 = 0 then 'ctr:' || l_partkey else '' end as container, ['a' || (step_ord - 1)] as inputs, ['a' || step_ord, 'a1'] as outputs, 'data:' || (p_size % 5) as item_ev from ln),
   art as (select 'wf:' || l_orderkey as workflow, 'a' || step_ord as item, case when p_size % 2 = 0 then 'data:' || (p_size % 5) else '' end as format, 's' || step_ord as produced_by from ln where l_suppkey % 4 <> 0),
@@ -421,9 +455,9 @@ def _(spark, d):
 # ---- scoring
 
 
-def sequences(spark: SparkSession, d: str, odd: int, every: int = 16) -> DataFrame:
-    """(item, pos, method_id): the distinct parts of every 16th order, as in the SQL, of odd or even line numbers, in order."""
-    line = star(spark, d, "lineitem").where(f"l_orderkey % {every} = 0 and (l_linenumber + {odd}) % 3 > 0")
+def sequences(spark: SparkSession, d: str, odd: int) -> DataFrame:
+    """(item, pos, method_id): the distinct parts of every order, without every third line number, in order."""
+    line = star(spark, d, "lineitem").where(f"(l_linenumber + {odd}) % 3 > 0")
     x = line.groupBy(text("l_orderkey").alias("item"), F.concat(F.lit("m:"), text("l_partkey")).alias("method_id")).agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("at"))
     return x.select("item", (F.row_number().over(Window.partitionBy("item").orderBy("at")) - 1).alias("pos"), "method_id")
 
@@ -431,20 +465,34 @@ def sequences(spark: SparkSession, d: str, odd: int, every: int = 16) -> DataFra
 def _seq(name: str, odd: int) -> str:
     return f"""{name} as (select item, method_id, row_number() over (partition by item order by ln, pk, sk) - 1 as pos from (
       select cast(l_orderkey as varchar) as item, 'm:' || cast(l_partkey as varchar) as method_id, arg_min(l_linenumber, r) as ln, arg_min(l_partkey, r) as pk, arg_min(l_suppkey, r) as sk
-      from (select *, row_number() over (order by l_linenumber, l_partkey, l_suppkey) as r from lineitem where l_orderkey % 16 = 0 and (l_linenumber + {odd}) % 3 > 0) y group by 1, 2) x)"""
+      from (select *, row_number() over (order by l_linenumber, l_partkey, l_suppkey) as r from lineitem where (l_linenumber + {odd}) % 3 > 0) y group by 1, 2) x)"""
 
 
 _IO = "inp as (select from_id as method_id, to_id as data from rel where kind = 'INPUT'), outp as (select from_id as method_id, to_id as data from rel where kind = 'OUTPUT')"
 
 
-@register(
-    "e1_equivalence_pairs",
-    sql_with(f"{_IO}, ops as (select from_id as method_id, to_id as op from rel where kind = 'PERFORMS' and to_id <> 'op:promo'), b as (select distinct method_id, op, data from ops join inp using (method_id) where method_id like '%4')", "select distinct x.method_id as a, y.method_id as b from b x join b y on x.op = y.op and x.data = y.data and x.method_id < y.method_id"),
-)
-def _(spark, d):
+_CLASSES = f"{_IO}, ops as (select from_id as method_id, to_id as op from rel where kind = 'PERFORMS' and to_id <> 'op:promo'), cl as (select distinct op, data, method_id from ops join inp using (method_id))"
+
+
+def classes(spark: SparkSession, d: str) -> DataFrame:
     o = E.oracle(*graph(spark, d))
-    some = lambda df: df.where(F.col("method_id").endswith("4"))
-    return E.equivalence_pairs(some(o["operations"]), some(o["inputs"]), ["op:promo"])
+    return E.equivalence_classes(o["operations"], o["inputs"], ["op:promo"])
+
+
+@register("e1_equivalence_classes", sql_with(_CLASSES, "select op, data, method_id from cl"))
+def _(spark, d):
+    return classes(spark, d)
+
+
+@register("e2_class_sizes", sql_with(_CLASSES, "select op, data, count(*) as n_methods, min(method_id) as first_method from cl group by 1, 2 having count(*) > 1"))
+def _(spark, d):
+    return E.class_sizes(classes(spark, d))
+
+
+@register("e2_equivalents", sql_with(_CLASSES, "select distinct x.method_id as a, y.method_id as b from cl x join cl y on x.op = y.op and x.data = y.data and x.method_id <> y.method_id where x.method_id in (select min(method_id) from cl group by op, data)"))
+def _(spark, d):
+    c = classes(spark, d)
+    return E.equivalents_of(c, c.groupBy("op", "data").agg(F.min("method_id").alias("method_id")))
 
 
 @register(
@@ -461,7 +509,7 @@ def _(spark, d):
 
 @register("e3_selection_matched")
 def _(spark, d):
-    g, p = sequences(spark, d, 0, 1), sequences(spark, d, 1, 1)
+    g, p = sequences(spark, d, 0), sequences(spark, d, 1)
     o = E.oracle(*graph(spark, d))
     return E.selection(g, p, E.matched_by_class(g, p, o["operations"], o["inputs"]))
 
@@ -514,7 +562,11 @@ def _(spark, d):
     return E.next_step_by_bucket(E.next_step_hits(next_answers(spark, d)))
 
 
-@register("a9_headline")
+@register(
+    "a9_headline",
+    f"""with {_NEXT}, m as (select bucket, avg(top1::int::double) as top1, avg(topk::int::double) as topk from h where bucket <> '0' group by 1)
+    select (select avg(top1) from m) as macro_top1, (select avg(topk) from m) as macro_topk, count(*) as n, avg(top1::int::double) as pooled_top1 from h""",
+)
 def _(spark, d):
     return E.next_step_headline(E.next_step_hits(next_answers(spark, d)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lattix.graph import MethodsGraph
+from lattix.graph import PropertyGraph
 from lattix.operators import contract as K
 from lattix.operators import evalkit as E
 from lattix.operators import planner as P
@@ -13,7 +13,7 @@ from lattix.operators import runner as N
 from lattix.operators import traverse as T
 from lattix.plans.bridge import graph, sql, sql_with, star
 from lattix.plans.build_queries import _SUGGEST, sequences, text
-from lattix.plans.graph_queries import CONTRACT, ids
+from lattix.plans.graph_queries import CONTRACT, ids, keyword_ctes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +44,13 @@ def _(spark, d):
     return P.executors(*graph(spark, d))
 
 
-@register("j8_causal_frontier")
+@register(
+    "j8_causal_frontier",
+    sql_with(
+        keyword_ctes(["STANDARD", "brand", "nation", "3"]) + ", found as (select row_number() over (order by kw, branch, id)::int as ord, id from firsts where n = 1)",
+        "select 0 as ord, 'data:1' as id union all select min(ord), from_id from rel join found on found.id = to_id where kind = 'WRAPS' and starts_with(from_id, 'mod:') group by 2",
+    ),
+)
 def _(spark, d):
     return P.frontier_of_labels(*graph(spark, d), ["STANDARD brand", "nation_3"], "data:1")
 
@@ -63,7 +69,7 @@ _NEAR = """nb as (select r.from_id as method_id, r.kind, n.id, n.name from rel r
     ),
 )
 def _(spark, d):
-    c = MethodsGraph(spark, *graph(spark, d)).catalogue()
+    c = PropertyGraph(spark, *graph(spark, d)).catalogue()
     listed = [F.coalesce(F.array_join(x, "|"), F.lit("")).alias(x) for x in ("operations", "inputs", "outputs")]
     return c.select("method_id", "name", *listed, "container", "reproducibility")
 
@@ -77,7 +83,7 @@ _FILES = [("a.yaml", "doi: '10.3/9'\npmid: 1"), ("b.yaml", "doi: '10.3/18', pmid
 )
 def _(spark, d):
     files = spark.createDataFrame(_FILES, "path string, text string")
-    return K.evidence_sources(K.fold_contract(K.contract_rows(*graph(spark, d))), files)
+    return K.evidence_sources(K.contracts(*graph(spark, d)), files)
 
 
 @register("d11_ledger_order", "select event_id as entry_id, row_number() over (order by ts, event_id)::int as ord from events where event_type = 'purchase'")
@@ -113,9 +119,9 @@ def _(spark, d):
     return star(spark, d, "events").select("user_id", "event_id", F.count("*").over(w).alias("n_before"))
 
 
-@register("w5_positions", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)::int as pos from lineitem where l_orderkey % 8 = 0")
+@register("w5_positions", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)::int as pos from lineitem")
 def _(spark, d):
-    rows = star(spark, d, "lineitem").where("l_orderkey % 8 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).alias("s"))
+    rows = star(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).alias("s"))
     x = rows.select("l_orderkey", F.posexplode("s").alias("k", "s"))
     return x.select("l_orderkey", "s.l_linenumber", "s.l_partkey", "s.l_suppkey", (F.col("k") + 1).alias("pos"))
 
@@ -128,10 +134,13 @@ def _(spark, d):
 @register("g6_matching")
 def _(spark, d):
     o = E.oracle(*graph(spark, d))
-    return E.matched_by_class(sequences(spark, d, 0, 1), sequences(spark, d, 1, 1), o["operations"], o["inputs"])
+    return E.matched_by_class(sequences(spark, d, 0), sequences(spark, d, 1), o["operations"], o["inputs"])
 
 
-@register("e11_rescore")
+@register(
+    "e11_rescore",
+    "with g as (select l_orderkey, count(distinct l_partkey) as g, count(distinct p_partkey) as h from lineitem left join part on p_partkey = l_partkey group by 1) select 'whole' as task, count(*) as n, min(2.0::double * h / (h + g)) as least_f1 from g",
+)
 def _(spark, d):
     from pyspark.sql import types as Y
 

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The application's folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The application's folder below ``spark.checkpoint.dir``; a temporary one only where that is unset and all of Spark
+    runs on this machine (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lattix-checkpoint-"))
+        configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lattix-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -9,10 +9,10 @@ from lattix.operators.traverse import without_dangling
 from lattix.schema import ENTITY, ENTITY_COLUMNS, REL, REL_COLUMNS
 
 
-def normalised(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The table's columns in order, as strings, with empty strings for what is missing."""
+def normalised(df: DataFrame, columns: list[str], *, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """The table's columns in order, as strings, with empty strings for what is missing, and the further ones to ``keep``."""
     have = set(df.columns)
-    return df.select(*((F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")).alias(c) for c in columns))
+    return df.select(*((F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")).alias(c) for c in columns), *keep)
 
 
 def write_graph(entity: DataFrame, rel: DataFrame, path: str, *, drop_dangling: bool = True) -> dict[str, int] | None:

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from helpers import entities, relations
 from pyspark.sql import functions as F
@@ -33,6 +35,18 @@ def test_build(spark, tmp_path):
     assert x["bioconda_pkg"] == "x" and x["biotools_id"] == "X" and "description" in x["properties"] and "homepage" in x["properties"]
 
 
+def test_typed_properties_order_and_escapes(spark, tmp_path):
+    """Numbers, lists and objects stay what they are, sources keep their order, and names with quotes do no harm."""
+    flow = lambda p, more: ("mod:a", "DOWNSTREAM_OF", "mod:b", json.dumps({"pipelines": [p], "confidence": 0.5, "derivation": "d", **more}))
+    a = entities(spark, ("m:x", "Method", "x", '{"n": 3, "tags": ["a"]}'), ("mod:a", "Module", "first"), ("mod:b", "Module")), relations(spark, flow('p"1', {"note": "kept", "n": 1}))
+    b = entities(spark, ("m:x", "Method", "x", '{"o": {"k": null}, "s": "3"}'), ("mod:a", "Module", "second")), relations(spark, flow("p\\2", {"note": "lost"}))
+    build(spark, [a, b], f"{tmp_path}/g", ingested_at="d")
+    entity, rel = spark.read.parquet(f"{tmp_path}/g/entity"), spark.read.parquet(f"{tmp_path}/g/rel")
+    assert entity.where("id = 'm:x'").first()["properties"] == '{"n": 3, "o": {"k": null}, "s": "3", "tags": ["a"]}'
+    assert entity.where("id = 'mod:a'").first()["name"] == "first"
+    assert json.loads(rel.first()["properties"]) == {"attestations": 2, "confidence": 0.5, "derivation": "d", "pipelines": ['p"1', "p\\2"], "note": "kept", "n": 1}
+
+
 ITEM = "id string, task string, goal string, given array<string>, gold struct<sequence: array<string>, next: string>"
 
 
@@ -58,11 +72,11 @@ def test_items_and_manifest(spark):
 
 
 def test_gate(spark, tmp_path):
-    from lattix.graph import MethodsGraph
+    from lattix.graph import PropertyGraph
 
     e = entities(spark, ("m:d", "Method"), ("stat:s", "StatisticalMethod"), ("assum:a", "Assumption"), ("diag:x", "Diagnostic", "x", '{"checkable": "pre_run", "min_replicates_per_group": 3}'))
     r = relations(spark, ("m:d", "USES_STATISTICAL_METHOD", "stat:s"), ("stat:s", "REQUIRES_ASSUMPTION", "assum:a"), ("assum:a", "CHECKED_BY", "diag:x"))
-    g, patterns = MethodsGraph(spark, e, r), {"m:d": r"\bdeseq"}
+    g, patterns = PropertyGraph(spark, e, r), {"m:d": r"\bdeseq"}
     assert gate.decide(g, "Rscript DESeq2.R", str(tmp_path), patterns)["decision"] == "ask" and gate.decide(g, "ls", str(tmp_path), patterns) is None
     (tmp_path / "s.csv").write_text("sample,Condition\n1,a\n2,a\n3,b\n")
     assert gate.decide(g, "deseq", str(tmp_path), patterns)["decision"] == "deny"

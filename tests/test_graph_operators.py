@@ -2,7 +2,7 @@ import pytest
 from helpers import entities, relations
 from pyspark.sql import functions as F
 
-from lattix.graph import MethodsGraph
+from lattix.graph import PropertyGraph
 from lattix.operators import audit, contract, planner, resolve, traverse, verdict
 
 
@@ -23,7 +23,7 @@ def graph(spark):
         ("mod:a", "WRAPS", "m:star"), ("mod:b", "WRAPS", "m:deseq2"), ("mod:b", "WRAPS", "m:salmon"), ("skill:x/s", "WRAPS", "m:deseq2"), ("skill:x/s", "WRAPS", "m:star"), ("m:star", "PACKAGED_AS", "ctr:1"), ("ctr:1", "FROM_PACKAGE", "pkg:star"),
         ("pipe:1", "HAS_MODULE", "mod:a"), ("mod:a", "DOWNSTREAM_OF", "mod:b", '{"attestations": 2, "pipelines": ["p1", "p2"], "derivation": "nextflow_dsl2"}'), ("mod:a", "DOWNSTREAM_OF", "mod:c", '{"attestations": 1, "pipelines": ["p1"], "derivation": "io_inferred"}'),
     )
-    return MethodsGraph(spark, e.cache(), r.cache())
+    return PropertyGraph(spark, e.cache(), r.cache())
 
 
 def rows(df, *cols):
@@ -162,10 +162,10 @@ def test_attestations_merge(spark):
 
 def test_store_fingerprint_export(graph, spark, tmp_path):
     bad = graph.rel.unionByName(relations(spark, ("m:star", "INPUT", "gone")))
-    n = MethodsGraph(spark, graph.entity, bad).save(f"{tmp_path}/g")
+    n = PropertyGraph(spark, graph.entity, bad).save(f"{tmp_path}/g")
     assert n == {"nodes": graph.entity.count(), "edges_loaded": graph.rel.count(), "edges_dropped": 1}
-    again = MethodsGraph.open(spark, f"{tmp_path}/g")
-    assert again.fingerprint() == graph.fingerprint() == MethodsGraph(spark, graph.entity.repartition(5), graph.rel.repartition(3).withColumn("ingested_at", F.lit("later"))).fingerprint()
+    again = PropertyGraph.open(spark, f"{tmp_path}/g")
+    assert again.fingerprint() == graph.fingerprint() == PropertyGraph(spark, graph.entity.repartition(5), graph.rel.repartition(3).withColumn("ingested_at", F.lit("later"))).fingerprint()
     assert again.export_kgx(f"{tmp_path}/kgx") == {"nodes": n["nodes"], "edges": n["edges_loaded"]}
     text = "".join(p.read_text() for p in (tmp_path / "kgx/nodes").glob("part-*"))
     assert text.splitlines()[0].split("\t") == ["id", "name", "category", "source", "source_url", "ingested_at"] and "m:star\tSTAR\tMethod" in text

@@ -80,6 +80,14 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """For applications: the session sends texts to Python in batches of at most so many rows.  Operators that return a plan
+    can't set this for the time when it runs; they work with any batches, of which larger ones take more memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def release_memory() -> None:
     """Give what a Python worker has freed back to the system: workers live on between stages."""
     import ctypes

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattix.llm import ann, chat, langid, lm, mixing, neardup, pieces, quality, tokens, urls
-from lattix.llm.common import fold_of, table
+from lattix.llm.common import bounded_batches, fold_of, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,7 @@ _REDIRECTS = f"""select x.url, y.url from {{0}} x join {{0}} y on y.page_id = ca
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.learn_rules(docs, table(spark, sf_dir, "labels"))
     judged = quality.judge(docs, rules, keep=["doc_id"])
@@ -70,11 +71,13 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("text")
     return tokens.context_table(tokens.length_histogram(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(True))  # a null id is in no fold and not learned from
     model = langid.learn(docs.where(~held_out))
@@ -94,6 +97,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep=["doc_id"])
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattix.llm import langid, mixing, neardup, pieces, quality
-from lattix.llm.common import shared_dir, stored, table
+from lattix.llm.common import bounded_batches, shared_dir, stored, table
 from lattix.llm.queries import TOKENIZERS
 
 
@@ -24,6 +24,7 @@ def _packed(docs: DataFrame, *names: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor a learned rule rejects.  A null text has no words and goes."""
+    bounded_batches(spark)
     rules = quality.learn_rules(docs, table(spark, sf_dir, "labels"))
     return quality.judge(_packed(docs, "text"), rules, keep=["doc"]).where("__kept").select("doc.*")
 
@@ -31,6 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those that have none, or whose language is ambiguous, go.
     Where no document has a language to learn from, all stay."""
+    bounded_batches(spark)
     model = langid.learn(docs)
     if not model.languages:
         return docs
@@ -41,14 +43,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that with the smallest id; of rows with one id, the one with the least text, then the
     least language and source; rows without an id stay.  Only rows whose id comes again are sorted by their texts."""
-    found = neardup.near_duplicates(docs)
-    kept = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    found = stored(neardup.near_duplicates(docs).select("doc_id", "kept"), "near")
+    dropped = stored(found.where("not kept").select("doc_id").distinct(), "dropped")  # fewer than those that stay
+    again = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     order = [c for c in ("text", "lang", "source") if c in docs.columns]
-    rows = _packed(docs, F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"o_{c}") for c in order))
-    once = rows.join(kept.where("n = 1"), "doc_id", "left_semi")
+    rows = _packed(docs, F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"o_{c}") for c in order)).join(dropped, "doc_id", "left_anti")
+    if again.isEmpty():
+        return rows.select("doc.*")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(f"o_{c}" for c in order)))
-    again = rows.join(kept.where("n > 1"), "doc_id", "left_semi").withColumn("k", first).where("k = 1")
-    return once.select("doc").unionByName(again.select("doc")).unionByName(rows.where("doc_id is null").select("doc")).select("doc.*")
+    one = rows.join(again, "doc_id", "left_semi").withColumn("k", first).where("k = 1")
+    return rows.join(again, "doc_id", "left_anti").select("doc").unionByName(one.select("doc")).select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids, language, source and the encoded text of every document of the mix."""
+    bounded_batches(spark)
     return pieces.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep=["doc_id", "lang", "source"])
 
 

@@ -81,7 +81,9 @@ def at_limits(context: DataFrame, limits: list[int]) -> DataFrame:
     """(limit, n_docs_cut, truncated_tokens) for any limits: the figures of the first length at or above each."""
     total = context.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
     want = context.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    x = want.join(F.broadcast(context), F.col("length") >= F.col("limit"), "left").groupBy("limit").agg(F.min_by(F.struct("length", "n_docs", "docs_from", "tokens_from"), "length").alias("c"))
+    # the limits are few and broadcast; the table of lengths is not
+    at = context.join(F.broadcast(want), F.col("length") >= F.col("limit")).groupBy("limit").agg(F.min_by(F.struct("length", "n_docs", "docs_from", "tokens_from"), "length").alias("c"))
+    x = want.distinct().join(at, "limit", "left")
     over = F.coalesce(F.col("c.docs_from") - F.when(F.col("c.length") == F.col("limit"), F.col("c.n_docs")).otherwise(0), F.lit(0))
     return x.crossJoin(total).select(
         "limit", over.alias("n_docs_cut"), (F.col("tokens") - F.coalesce(F.col("c.tokens_from"), F.lit(0)) + F.col("limit") * F.coalesce(F.col("c.docs_from"), F.lit(0))).alias("truncated_tokens")
@@ -91,4 +93,4 @@ def at_limits(context: DataFrame, limits: list[int]) -> DataFrame:
 def quantiles(context: DataFrame, shares: list[float]) -> DataFrame:
     """(share, length): the least length that at least this share of the documents doesn't exceed."""
     want = context.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return want.join(F.broadcast(context), F.col("share_upto") >= F.col("share")).groupBy("share").agg(F.min("length").alias("length"))
+    return context.join(F.broadcast(want), F.col("share_upto") >= F.col("share")).groupBy("share").agg(F.min("length").alias("length"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattix import reports
 from lattix.operators import audit, contract, fingerprint, planner, traverse, verdict
 from lattix.sources import kgx
 from lattix.sources.store import read_graph, write_graph
@@ -80,6 +81,30 @@ class PropertyGraph:
         gates = verdict.gates(rows, given, owner=name)
         return verdict.verdicts(self._ids([owner]).select(F.col("id").alias(name)), gates, owner=name), gates
 
+    def evaluate_chain(self, methods: list[str], facts: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(chain, steps, handoffs) of methods one after the other, all with the same facts."""
+        steps = self.spark.createDataFrame([("chain", k, m) for k, m in enumerate(methods, 1)], "chain string, ord int, method_id string")
+        own = steps.select("method_id").distinct()
+        given = own.crossJoin(self.spark.createDataFrame([(k, int(v)) for k, v in (facts or {}).items()], "key string, value long"))
+        gates = verdict.gates(self.contracts().join(own, "method_id", "left_semi"), given)
+        verdicts = verdict.verdicts(own, gates)
+        handed = verdict.handoffs(steps, self.rel, verdicts.where(F.col("status") != verdict.NOT_EVALUABLE))
+        return verdict.chain_verdicts(self._ids(["chain"]).select(F.col("id").alias("chain")), steps, verdicts, handed), steps.join(verdicts, "method_id").select("ord", "method_id", "status"), handed
+
+    def skill_coverage(self) -> DataFrame:
+        """How many of the methods that each skill wraps have a verdict without facts."""
+        none = self.spark.createDataFrame([], "method_id string, key string, value long")
+        methods = traverse.of_kind(self.entity, "Method").select(F.col("id").alias("method_id"))
+        return audit.skill_coverage(self.entity, self.rel, verdict.verdicts(methods, verdict.gates(self.contracts(), none)))
+
+    def score_method(self, method_id: str, keywords: list[str] | None = None) -> float:
+        """Names are not scored: every method is as good as another."""
+        return 0.0
+
+    def audit_report(self) -> str:
+        counts = {"nodes": self.entity.count(), "edges": self.rel.count()}
+        return reports.audit_text(self.audit().collect(), self.coverage().collect(), audit.same_as_basis(self.rel).collect(), counts)
+
     def suggest(self, frontier: list[str], *, limit: int = 10, exclude: list[str] | None = None) -> DataFrame:
         return planner.suggest(self.entity, self.rel, self._ids(frontier), limit=limit, exclude=self._ids(exclude) if exclude else None)
 

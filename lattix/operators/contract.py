@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lattix.operators.traverse import of_kind
 
+MAX_FILES = 1_000
 DIMENSIONS = ["min_replicates_per_group", "min_peptides_per_protein"]
 
 
@@ -116,7 +117,9 @@ def merge_contracts(contracts: DataFrame, members: DataFrame, owner: str = "skil
 
 def evidence_sources(contracts: DataFrame, files: DataFrame) -> DataFrame:
     """(method_id, assumption_id, evidence, path): every curated file whose text holds the bare evidence id.
-    There are a handful of files, so they are broadcast."""
+    There are a handful of files, so they are broadcast; more than ``MAX_FILES`` are an error."""
+    if (n := files.count()) > MAX_FILES:
+        raise ValueError(f"{n} files are too many to search for every piece of evidence")
     bare = F.regexp_replace("evidence", "^[a-z]+:", "")
     x = contracts.where("evidence <> ''").select("method_id", "assumption_id", "evidence", bare.alias("bare"))
     return x.join(F.broadcast(files.select("path", "text")), F.contains("text", F.col("bare"))).select("method_id", "assumption_id", "evidence", "path")

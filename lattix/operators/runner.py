@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattix.functions import kernels
@@ -39,6 +40,43 @@ def run_items(items: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
     return prompts(items).select("id", "task", "prompt").mapInPandas(call, "id string, task string, raw string, error string")
 
 
+def run_to_lines(items: DataFrame, answer: Callable[[str, str], str], path: str) -> int:
+    """Answer items one by one, each written as a line of JSON before the next is asked, so that a run that breaks off loses
+    nothing; items that the file has already are passed over.  The number of answers asked for."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    done = {json.loads(x)["id"] for x in target.read_text().splitlines() if x.strip()} if target.exists() else set()
+    n = 0
+    with target.open("a") as out:
+        for r in prompts(items).select("id", "task", "prompt").orderBy("id").toLocalIterator():
+            if r["id"] in done:
+                continue
+            try:
+                raw, error = answer(r["id"], r["prompt"]), None
+            except Exception as e:  # noqa: BLE001  whatever an adapter raises becomes the row's error
+                raw, error = None, f"{type(e).__name__}: {e}"
+            out.write(json.dumps({"id": r["id"], "task": r["task"], "raw": raw, "error": error}, sort_keys=True) + "\n")
+            out.flush()
+            n += 1
+    return n
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """(id, task, raw, error) rows of a file of answers."""
+    return spark.read.schema("id string, task string, raw string, error string").json(path)
+
+
+def read_clones(spark: SparkSession, root: str, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sequences, outcomes) of the pipelines below a folder, by ``build_items``; one without a chart is dropped for that reason."""
+    from lattix.sources.pipelines import read_charts, read_membership
+
+    charts = read_charts(spark, root).select(F.col("pipeline").alias("item"), "text")
+    sequences, outcomes = build_items(charts, modules)
+    bare = read_membership(spark, root).select(F.col("pipeline").alias("item")).distinct().join(charts.select("item"), "item", "left_anti")
+    bare = bare.select("item", F.lit("dropped").alias("status"), F.lit("no chart").alias("reason"), F.lit(0).cast("long").alias("n_items"))
+    return sequences, outcomes.unionByName(bare)
+
+
 def static(responses: dict[str, str]) -> Callable[[str, str], str]:
     """An adapter that replays answers by item id and fails without one."""
     return lambda item, prompt: responses[item]

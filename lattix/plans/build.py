@@ -13,7 +13,9 @@ from lattix.operators import resolve
 from lattix.operators.traverse import of_kind, without_edges
 from lattix.plans.runtime import cut
 from lattix.schema import ENTITY_COLUMNS, REL_COLUMNS
+from lattix.sources.curated import emit_all
 from lattix.sources.manifest import write_lock
+from lattix.sources.skills import read_skills, wire_skills
 from lattix.sources.store import normalised
 
 
@@ -58,7 +60,7 @@ def resolve_graph(entity: DataFrame, rel: DataFrame, *, ingested_at: str) -> tup
     props = properties(basis=F.col("basis"), confidence=F.col("confidence"))
     same = same.select("from_id", "to_id", F.lit("SAME_AS").alias("kind"), props.alias("properties"), *tail)
     packed = resolve.packaged_as(entity, rel).select("from_id", "to_id", F.lit("PACKAGED_AS").alias("kind"), F.lit("{}").alias("properties"), *tail)
-    return entity, normalised(rel, REL_COLUMNS).unionByName(same).unionByName(packed)
+    return entity, cut(normalised(rel, REL_COLUMNS).unionByName(same).unionByName(packed))
 
 
 def enrich(entity: DataFrame, rel: DataFrame, *, registry: DataFrame | None = None, added: DataFrame | None = None, removed: DataFrame | None = None, ingested_at: str) -> DataFrame:
@@ -73,10 +75,33 @@ def enrich(entity: DataFrame, rel: DataFrame, *, registry: DataFrame | None = No
     return without_edges(rel, removed.withColumn("kind", F.lit("PERFORMS"))) if removed is not None else rel
 
 
-def build(spark, parts: list[tuple[DataFrame, DataFrame]], path: str, *, ingested_at: str, lock: str | None = None, **enrichment) -> dict:
-    """Build, store, audit and lock a graph from sources' tables; the report holds counts, the fingerprint and failures."""
+def with_skills(spark, entity: DataFrame, rel: DataFrame, root: str, *, ingested_at: str) -> tuple[DataFrame, DataFrame]:
+    """The graph with the skills below a folder, each wrapping the methods that it declares.  The words that prose is searched
+    for are the methods' names, of which a build has some thousand."""
+    library = root.rstrip("/").rsplit("/", 1)[-1]
+    methods = of_kind(entity, "Method")
+    found = cut(read_skills(spark, root, {r[0] for r in methods.select(F.lower("name")).distinct().collect()}, library=library))
+    wraps, _ = wire_skills(found, methods)
+    tail = [F.lit(library).alias("source"), F.lit(root).alias("source_url"), F.lit(ingested_at).alias("ingested_at")]
+    nodes = found.select(F.col("skill_id").alias("id"), "name", F.lit("Skill").alias("kind"), "properties", F.lit("").alias("bioconda_pkg"), F.lit("").alias("biotools_id"), *tail)
+    edges = wraps.select(F.col("skill_id").alias("from_id"), F.col("method_id").alias("to_id"), F.lit("WRAPS").alias("kind"), properties(tool=F.col("tool"), via=F.col("via")).alias("properties"), *tail)
+    return entity.unionByName(nodes.dropDuplicates(["id"])), rel.unionByName(edges)
+
+
+def build(spark, parts: list[tuple[DataFrame, DataFrame]], path: str, *, ingested_at: str, lock: str | None = None, curated: str | None = None, skills: str | None = None, **enrichment) -> dict:
+    """Build, store, audit and lock a graph from sources' tables, with the curated files and the skills of folders; the report
+    holds counts, the fingerprint and failures."""
     entity, rel = resolve_graph(*gather(parts), ingested_at=ingested_at)
+    if curated:
+        nodes, links, _, removed = emit_all(spark, curated, entity, ingested_at=ingested_at)
+        nodes, links = cut(nodes), cut(links)
+        entity = entity.unionByName(nodes)
+        enrichment["removed"] = removed if enrichment.get("removed") is None else enrichment["removed"].unionByName(removed)
+        key = ["from_id", "to_id", "kind"]
+        rel = rel.unionByName(links.select(rel.columns).dropDuplicates(key).join(rel.select(*key), key, "left_anti").select(rel.columns))
     rel = enrich(entity, rel, ingested_at=ingested_at, **enrichment)
+    if skills:
+        entity, rel = with_skills(spark, entity, rel, skills, ingested_at=ingested_at)
     counts = PropertyGraph(spark, entity, rel).save(path)
     graph = PropertyGraph.open(spark, path)
     failures = {r["name"]: r["violations"] for r in graph.audit().where("not ok").collect()}

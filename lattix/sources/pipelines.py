@@ -48,6 +48,31 @@ def read_membership(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, "pipeline string, path string")
 
 
+def _texts(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(pipeline, text) of the files of a name below a folder of pipelines; the folder next below it names the pipeline."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+    below = F.substring_index("path", f"/{root.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    return files.select(F.substring_index(below, "/", 1).alias("pipeline"), F.col("content").cast("string").alias("text"))
+
+
+def read_charts(spark: SparkSession, root: str) -> DataFrame:
+    """(pipeline, text) of every ``dag.mmd`` below the folder."""
+    return _texts(spark, root, "dag.mmd")
+
+
+def read_aliases(spark: SparkSession, root: str) -> DataFrame:
+    """(pipeline, process, path): which module each process of a pipeline's workflow files runs; a name that different files
+    give to different modules says nothing and is left out."""
+
+    def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(p, n, m[1]) for p, t in zip(pdf["pipeline"], pdf["text"], strict=True) for n, path in includes(t).items() if (m := re.search(r"nf-core/(.+?)(?:/main)?$", path))]
+            yield pd.DataFrame(rows, columns=["pipeline", "process", "path"])
+
+    found = _texts(spark, root, "*.nf").mapInPandas(parse, "pipeline string, process string, path string").distinct()
+    return found.groupBy("pipeline", "process").agg(F.min("path").alias("path"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
 def parse_pipelines(membership: DataFrame, metas: DataFrame, charts: DataFrame | None = None, aliases: DataFrame | None = None, *, module_io: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, wiring).  members: (pipeline, module_id) by joining declared paths to the modules' (path, module_id), unresolved
     ones dropped.  wiring: (pipeline, a, b, derivation, confidence), from the flow chart (pipeline, text) with (pipeline, process,

@@ -16,6 +16,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "false"))  # compiling takes most of the time on small tables
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -98,21 +98,33 @@ def test_curated(spark):
     good = {"from": "m:a", "to": "stat:x", "confidence": "high", "evidence": {"doi": "10/1", "pmid": "3"}, "quote": "q"}
     links = curated.load_links([good])
     assert links == [("m:a", "stat:x", '{"basis": "curated", "confidence": 1.0, "evidence": "doi:10/1", "quote": "q"}', "https://doi.org/10/1")]
+    assert curated.load_links([{k: v for k, v in good.items() if k != "confidence"}]) == links  # a link without a word is sure
     for bad in ([good, good], [{**good, "to": ""}], [{**good, "evidence": {"url": "u"}}], [{**good, "confidence": "sure"}]):
         with pytest.raises(ValueError):
             curated.load_links(bad)
-    rel, skipped = curated.emit_links(spark, "method_statistics", [*links, ("m:b", "stat:x", "{}", "")], entities(spark, ("m:a", "Method"), ("stat:x", "StatisticalMethod")), ingested_at="d")
-    assert rows(rel, "from_id", "kind", "to_id") == [("m:a", "USES_STATISTICAL_METHOD", "stat:x")] and rows(skipped) == [("m:b", "stat:x", "from_missing")]
-    d = {"checks": ["assum:n"], "evidence": {"doi": "1"}, "checkable": "pre_run", "applies_to_assumption": "assum:n", "min_replicates_per_group": 3}
-    assert curated.load_diagnostics([d]) == [d]
-    for k, v in (("checks", []), ("evidence", {}), ("checkable", "later"), ("applies_to_assumption", "assum:z"), ("min_replicates_per_group", True), ("min_peptides_per_protein", 0)):
+    more = curated.load_links([{**good, "from": x} for x in ("m:b", "stat:x")] + [{**good, "to": x} for x in ("stat:y", "m:a")])
+    _, rel, skipped = curated.emit_links(spark, "method_statistics", [*links, *more], entities(spark, ("m:a", "Method"), ("stat:x", "StatisticalMethod")), ingested_at="d")
+    assert rows(rel, "from_id", "kind", "to_id") == [("m:a", "USES_STATISTICAL_METHOD", "stat:x")]
+    assert rows(skipped) == [("m:a", "m:a", "target_wrong_kind:Method"), ("m:a", "stat:y", "target_missing"), ("m:b", "stat:x", "method_missing"), ("stat:x", "stat:x", "method_wrong_kind:StatisticalMethod")]
+    d = {"checks": ["n"], "ref": "doi:1", "checkable": "pre_run", "applies_to_assumption": "assum:n", "min_replicates_per_group": 3}
+    (one,) = curated.load_diagnostics({"diagnostics": {"x": d}})
+    assert one["id"] == "diag:x" and one["checks"] == ["assum:n"] and one["scope"] == "assum:n" and one["min_replicates_per_group"] == 3
+    for k, v in (("checks", []), ("checks", "n"), ("ref", "see there"), ("checkable", "later"), ("applies_to_assumption", "z"), ("min_replicates_per_group", True), ("min_peptides_per_protein", 0)):
         with pytest.raises(ValueError):
-            curated.load_diagnostics([{**d, k: v}])
-    assert curated.load_tool_io({"m:a": {"input": ["x"]}}, {"x"}) == [("m:a", "INPUT", "x")] and curated.load_operation_edits({"m:a": {"add": ["o"], "remove": ["p"]}}) == ([("m:a", "o")], [("m:a", "p")])
-    assert curated.load_modalities({"k": {"name": "K"}}, {"p": ["k"]}) == [("pipe:p", "modality:k")]
-    for f, args in ((curated.load_tool_io, ({"m:a": {"input": "x"}}, {"x"})), (curated.load_tool_io, ({"m:a": {}}, set())), (curated.load_operation_edits, ({"m:a": {}},)), (curated.load_modalities, ({"k": {}}, {})), (curated.load_modalities, ({"k": {"name": "K"}}, {"p": ["z"]}))):
+            curated.load_diagnostics({"diagnostics": {"x": {**d, k: v}}})
+    types = {"t": {"edam": "data_1"}}
+    assert curated.load_tool_io({"data_types": types, "tool_io": {"a": {"consumes": ["t"], "produces": ["t"]}}}) == [("m:a", "INPUT", "data:data_1"), ("m:a", "OUTPUT", "data:data_1")]
+    assert curated.load_operation_edits({"methods": {"a": {"add": ["o"], "remove": ["op:p"]}}}) == ([("m:a", "op:o")], [("m:a", "op:p")])
+    assert curated.load_modalities({"modalities": {"k": {"name": "K"}}, "pipelines": {"p": ["k"], "q": None}})[1] == [("pipe:p", "modality:k")]
+    term = {"assumptions": [{"id": "assum:n", "name": "N"}], "requires": [{"statistical_method": "stat:x", "assumption": "assum:n", "evidence": "doi:1"}]}
+    assert [len(x) for x in curated.load_assumptions(term)] == [0, 1, 1]
+    for f, bad in (
+        (curated.load_tool_io, {"data_types": types, "tool_io": {"a": {"consumes": "t"}}}), (curated.load_tool_io, {"tool_io": {"a": {}}}), (curated.load_tool_io, {"tool_io": {"a": {"consumes": ["t"]}}}), (curated.load_tool_io, {"data_types": {"t": {}}}),
+        (curated.load_operation_edits, {"methods": {"a": {}}}), (curated.load_modalities, {"modalities": {"k": {}}}), (curated.load_modalities, {"pipelines": {"p": ["z"]}}), (curated.load_modalities, {"modalities": {"k": {"name": "K"}}, "pipelines": {"p": "k"}}),
+        (curated.load_assumptions, {**term, "assumptions": []}), (curated.load_assumptions, {**term, "assumptions": term["assumptions"] * 2}), (curated.load_assumptions, {**term, "requires": term["requires"] * 2}), (curated.load_assumptions, {**term, "requires": [{**term["requires"][0], "evidence": ""}]}),
+    ):
         with pytest.raises(ValueError):
-            f(*args)
+            f(bad)
 
 
 def test_manifests(spark, tmp_path):

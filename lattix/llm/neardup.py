@@ -230,7 +230,7 @@ def _prefixes(sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     shared = each.groupBy("s").agg(F.count("*").alias("df"), F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("s", "df")
     own = each.join(shared, "s").groupBy("id", "of", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("common"))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
-    own = own.withColumn("len", F.size("common") - need + 1).where("len > 0").select("id", "of", F.slice("common", F.lit(1), F.col("len"))["s"].alias("prefix"))
+    own = own.select("id", "of", F.slice("common", F.lit(1), F.greatest(F.size("common") - need + 1, F.lit(0)))["s"].alias("prefix"))
     return own.select(F.explode("prefix").alias("s"), "id", "of", F.slice("prefix", 1, HEAD).alias("head"))
 
 

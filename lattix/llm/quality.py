@@ -231,8 +231,8 @@ def describe(rules: list[Rule]) -> list[str]:
     return [" and ".join(f"{c.feature} {'>' if c.above else '<='} {c.threshold:.6g}" for c in r) for r in rules]
 
 
-def judge(docs: DataFrame, rules: list[Rule], *, keep: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule], *, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The kept columns plus struct ``__q`` of statistics, ``__base_failed``, ``__rule`` and ``__kept``."""
-    out = docs.select(*(docs[f"`{c}`"] for c in keep or docs.columns), document_statistics("text").alias("__q"))
+    out = docs.select(*(docs[f"`{c}`"] for c in keep or docs.columns), document_statistics(text).alias("__q"))
     out = out.withColumn("__base_failed", base_failed("__q.")).withColumn("__rule", rule_expression(rules, "__q."))
     return out.withColumn("__kept", ~F.col("__base_failed") & F.col("__rule").isNull())

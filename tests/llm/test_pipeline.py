@@ -17,7 +17,7 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "minhash_neardup", "mixing", "sentencepiece"]
 
 
-CLASHES = ["doc", "l", "n", "k", "o_text", "shard", "position", "run", "__q", "__kept", "__l", "__key", "__id"]
+CLASHES = ["c0", "c2", "doc", "key", "l", "n", "k", "o_text", "shard", "position", "run", "__q", "__kept", "__l", "__key", "__id"]
 
 
 @pytest.fixture

@@ -17,16 +17,22 @@ from lattix.llm.common import bounded_batches, shared_dir, stored, table
 from lattix.llm.queries import TOKENIZERS
 
 
-def _packed(docs: DataFrame, *names: str) -> DataFrame:
-    """Whole rows as one struct beside the columns that a stage works on, so that no name of theirs can clash with its own."""
-    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), *names)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns c0, c1, ..., and these names by the former ones: no column of theirs can clash with a stage's own."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _named(rows: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*names.values()).toDF(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor a learned rule rejects.  A null text has no words and goes."""
     bounded_batches(spark)
     rules = quality.learn_rules(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(_packed(docs, "text"), rules, keep=["doc"]).where("__kept").select("doc.*")
+    rows, names = _numbered(docs)
+    return _named(quality.judge(rows, rules, text=names["text"]).where("__kept"), docs, names)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +42,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs)
     if not model.languages:
         return docs
-    known = _packed(docs, langid.predict_column(spark, model)("text").alias("l"))
-    return known.where((F.col("l.lang_pred") != langid.UNKNOWN) & ~F.col("l.ambiguous")).select("doc.*")
+    rows, names = _numbered(docs)
+    known = rows.withColumn("l", langid.predict_column(spark, model)(names["text"]))
+    return _named(known.where((F.col("l.lang_pred") != langid.UNKNOWN) & ~F.col("l.ambiguous")), docs, names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,27 +53,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = stored(neardup.near_duplicates(docs).select("doc_id", "kept"), "near")
     dropped = stored(found.where("not kept").select("doc_id").distinct(), "dropped")  # fewer than those that stay
     again = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
-    order = [c for c in ("text", "lang", "source") if c in docs.columns]
-    rows = _packed(docs, F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"o_{c}") for c in order)).join(dropped, "doc_id", "left_anti")
-    if again.isEmpty():
-        return rows.select("doc.*")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(f"o_{c}" for c in order)))
-    one = rows.join(again, "doc_id", "left_semi").withColumn("k", first).where("k = 1")
-    return rows.join(again, "doc_id", "left_anti").select("doc").unionByName(one.select("doc")).select("doc.*")
+    rows, names = _numbered(docs)
+    own = F.col(names["doc_id"]).cast("long")
+    rows = rows.join(dropped, own == dropped["doc_id"], "left_anti")
+    if not again.isEmpty():
+        order = [names[c] for c in ("text", "lang", "source") if c in names]
+        first = F.row_number().over(Window.partitionBy(names["doc_id"]).orderBy(*order))
+        one = rows.join(again, own == again["doc_id"], "left_semi").withColumn("k", first).where("k = 1").drop("k")
+        rows = rows.join(again, own == again["doc_id"], "left_anti").unionByName(one)
+    return _named(rows, docs, names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix draws it, in the shards' order.  A document at the end of its source's quota
     is drawn whole if at least half of it was.  A document without an id goes by a hash of its text, and rows that
     share an id share its draws."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    keyed = _packed(docs, key.alias("doc_id"), "source", "text")
-    draws = mixing.mix(keyed.select("doc_id", "source", "text")).select("doc_id", "size", F.explode("draws").alias("d"))
-    draws = draws.select("doc_id", "size", "d.pass", "d.shard", "d.words", "d.position").where(F.col("words") * 2 >= F.col("size")).dropDuplicates(["doc_id", "pass"])
-    out = keyed.select("doc", "doc_id").join(draws.select("doc_id", "shard", "position"), "doc_id")
+    rows, names = _numbered(docs)
+    text = F.col(names["text"])
+    keyed = rows.withColumn("key", F.coalesce(F.col(names["doc_id"]).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))))
+    draws = mixing.mix(keyed.select(F.col("key").alias("doc_id"), F.col(names["source"]).alias("source"), text.alias("text"))).select(F.col("doc_id").alias("key"), "size", F.explode("draws").alias("d"))
+    draws = draws.select("key", "size", "d.pass", "d.shard", "d.words", "d.position").where(F.col("words") * 2 >= F.col("size")).dropDuplicates(["key", "pass"])
+    out = keyed.join(draws.select("key", "shard", "position"), "key")
     # a shard's rows in order of their hashes, cut into runs so that no task holds a whole shard
     out = out.withColumn("run", F.shiftrightunsigned("position", 60)).repartition("shard", "run").sortWithinPartitions("shard", "position")
-    return out.select("doc.*")
+    return _named(out, docs, names)
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

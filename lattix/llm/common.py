@@ -37,10 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows of megabytes are measured one by one, as a page is compressed, and a row group is read, in one piece.
+GROUPS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
+def stored(df: DataFrame, name: str, *, large_rows: bool = False) -> DataFrame:
     """Write a table to the shared folder as Parquet and read it back: column pruning and sizes stay known."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.options(**(GROUPS if large_rows else {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -69,15 +73,18 @@ def lots(column: pa.Array, rows: int = LOT_ROWS, size: int = LOT_BYTES) -> Itera
 
 
 @contextlib.contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows while a table is written; the session's own setting comes back after it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def batch_rows(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
+    """Arrow batches of at most so many rows, and bytes after which a smaller one ends, while a table is written; the
+    session's own settings come back after it."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k, v in keys.items() if v is not None}
+    for k in before:
+        spark.conf.set(k, str(keys[k]))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattix.llm.common import batch_rows, release_memory, remove, stored
+from lattix.llm.common import LOT_BYTES, batch_rows, release_memory, remove, stored
 from lattix.llm.neardup import _hash_of, _hashes, mixed
 
 SEGMENT_BITS, PROBES, BITS_PER_ENTRY = 1 << 16, 4, 12
@@ -45,7 +45,9 @@ TOP_WORDS = 1 << 19
 BASE, MU, ADD = 1.5, 4.0, 0.1
 END = xxhash.xxh3_64_intdigest(b" end")  # no word holds a blank
 _LEVEL = np.uint64(0x9E3779B97F4A7C15)
-_FLUSH = 4_000_000
+_FLUSH = 2_000_000
+#: Rows of a batch at most where its bytes bound it.
+_BATCH = 10_000
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -112,6 +114,26 @@ def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, Iterator[tuple[int
     return order, ((p, int(edges[p]), int(edges[p + 1])) for p in np.flatnonzero(np.diff(edges)).tolist())
 
 
+def _cells(spans: Iterator[tuple[int, int, int]], *values: np.ndarray) -> Iterator[list[pa.Array]]:
+    """The spans' parts and what each of ``values`` has there, in lots of some megabytes: a batch for each cell, of which
+    there are as many as chunks times parts, would take most of the time."""
+    parts: list[int] = []
+    cells: list[list[bytes]] = [[] for _ in values]
+    size = 0
+    for p, a, b in spans:
+        parts.append(p)
+        for held, x in zip(cells, values, strict=True):
+            held.append(x[a:b].tobytes())
+            size += len(held[-1])
+        if size >= LOT_BYTES:
+            yield [pa.array(parts, pa.int64()), *(pa.array(held, pa.binary()) for held in cells)]
+            for held in (parts, *cells):
+                held.clear()
+            size = 0
+    if parts:
+        yield [pa.array(parts, pa.int64()), *(pa.array(held, pa.binary()) for held in cells)]
+
+
 def _counted(parts: int):
     """Counts of the training texts' words and pairs by part, summed over some millions of tokens before they leave the task."""
 
@@ -126,8 +148,8 @@ def _counted(parts: int):
                 keys, n = np.unique(every, return_counts=True)
                 order, spans = _dealt(keys, parts)
                 keys, n = keys[order], n[order].astype(np.uint32)
-                for p, a, b in spans:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([pair]), pa.array([keys[a:b].tobytes()]), pa.array([n[a:b].tobytes()])], ["part", "pair", "keys", "n"])
+                for of, k, c in _cells(spans, keys, n):
+                    yield pa.RecordBatch.from_arrays([of, pa.array([pair] * len(of)), k, c], ["part", "pair", "keys", "n"])
 
         for batch in batches:
             for o, l, w, t in zip(*batch.columns, strict=True):  # noqa: E741
@@ -232,8 +254,8 @@ def _asked(parts: int):
                 keys = np.concatenate([words, np.unique(pairs(words[at]))])
                 order, spans = _dealt(keys, parts)
                 keys = keys[order]
-                for p, a, b in spans:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([chunk.as_py()], pa.int64()), pa.array([keys[a:b].tobytes()])], ["part", "chunk", "data"])
+                for of, data in _cells(spans, keys):
+                    yield pa.RecordBatch.from_arrays([of, pa.array([chunk.as_py()] * len(of), pa.int64()), data], ["part", "chunk", "data"])
         release_memory()
 
     return run
@@ -242,15 +264,33 @@ def _asked(parts: int):
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Quantised counts of the n-grams asked for; a part's filter comes as its first row, without a chunk."""
     part, filter_ = None, np.zeros(0, np.uint8)
+    chunks: list[int] = []
+    held: list[bytes] = []
+    size = 0
+
+    def flush():
+        read = read_levels(filter_, np.frombuffer(b"".join(held), np.uint64)).astype(np.uint8)
+        edges = np.concatenate([[0], np.cumsum([len(x) // 8 for x in held])]).tolist()
+        columns = [pa.array(chunks, pa.int64()), pa.array([part] * len(chunks), pa.int64()), pa.array([read[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())]
+        chunks.clear()
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "part", "levels"])
+
     for batch in batches:
         for p, chunk, data in zip(*batch.columns, strict=True):
+            if held and (size >= LOT_BYTES // 4 or p.as_py() != part or not chunk.is_valid):
+                yield flush()
+                size = 0
             if p.as_py() != part:
                 part, filter_ = p.as_py(), np.zeros(0, np.uint8)
             if not chunk.is_valid:
                 filter_ = np.frombuffer(data.as_py(), np.uint8)
             else:
-                read = read_levels(filter_, np.frombuffer(data.as_py(), np.uint64)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([part], pa.int64()), pa.array([read.tobytes()])], ["chunk", "part", "levels"])
+                chunks.append(chunk.as_py())
+                held.append(data.as_py())
+                size += len(held[-1])
+    if held:
+        yield flush()
     release_memory()
 
 
@@ -301,12 +341,12 @@ def score_documents(docs: DataFrame, trains: Column, *, top_words: int = TOP_WOR
     rows = docs.select(F.col("doc_id").cast("long"), (~F.coalesce(trains, F.lit(False))).alias("held_out"), "text")
     chunked = rows.mapInArrow(_chunked, "ids array<bigint>, held_out array<boolean>, lens array<int>, words binary, at binary")
     with batch_rows(spark, 1_000):
-        chunks = stored(chunked.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+        chunks = stored(chunked.withColumn("chunk", F.monotonically_increasing_id()), "chunks", large_rows=True)
     size = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
     parts = max(LEAST_PARTS, math.ceil(size / PART_TOKENS))
-    with batch_rows(spark, 4):  # chunks are large rows
+    with batch_rows(spark, _BATCH, LOT_BYTES):  # chunks are large rows, cells of a chunk and a part small ones
         counted = chunks.select("held_out", "lens", "words", "at").mapInArrow(_counted(parts), "part long, pair boolean, keys binary, n binary")
-        model = stored(counted.groupBy("part").applyInArrow(_modelled, "part long, bits binary, words array<struct<key: bigint, n: bigint>>"), "model")
+        model = stored(counted.groupBy("part").applyInArrow(_modelled, "part long, bits binary, words array<struct<key: bigint, n: bigint>>"), "model", large_rows=True)
         del counted
         _drop_shuffles(spark)
         words = model.select(F.inline("words"))

@@ -2,15 +2,19 @@ import base64
 import inspect
 import math
 import random
+import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 
-from lattix.llm import ann, langid, lm, pieces, quality, tokens
+from lattix.llm import ann, common, langid, lm, pieces, quality, tokens
 from lattix.llm.queries import TOKENIZERS
 
 VOCABULARY, MODEL = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -159,6 +163,61 @@ def test_filter_reads_back_levels():
     assert (lm.read_levels(filter_, rng.integers(1, 2**63, 3000).astype(np.uint64)) > 0).mean() < 0.05
 
 
+def test_lm_cells_leave_in_few_batches():
+    """Cells of a chunk and a part, whose number grows with the square of the corpus, share batches and reads."""
+    rng, parts = np.random.default_rng(1), 1_500
+    lens = [600] * 20
+    words = np.unique(rng.integers(1, 2**63, 5_000).astype(np.uint64))
+    at = rng.integers(0, len(words), sum(lens)).astype(np.uint16)
+    row = [pa.array([[False] * 20]), pa.array([lens], pa.list_(pa.int32())), pa.array([words.tobytes()]), pa.array([at.tobytes()])]
+    counted = list(lm._counted(parts)(iter([pa.RecordBatch.from_arrays(row, ["held_out", "lens", "words", "at"])])))
+    asked = list(lm._asked(parts)(iter([pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), *row[1:]], ["chunk", "lens", "words", "at"])])))
+    assert sum(b.num_rows for b in counted) > parts and len(counted) == 2 and sum(b.num_rows for b in asked) > 1_400 and len(asked) == 1
+    flat = words[at]
+    for pair, every in ((False, flat), (True, lm.pairs(flat))):
+        got = Counter({k: n for b in counted for r in b.to_pylist() if r["pair"] == pair for k, n in zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["n"], np.uint32).tolist(), strict=True)})
+        assert got == Counter(every.tolist())
+    # the cells of two parts, asked by three chunks each
+    keys = [rng.integers(1, 2**63, 40).astype(np.uint64) for _ in range(6)]
+    filters = [np.frombuffer(lm.filter_of(np.concatenate(keys[:2]), rng.integers(1, 90, 80)), np.uint8), np.frombuffer(lm.filter_of(keys[3], np.full(40, 9)), np.uint8)]
+    rows = [(p, c, filters[p].tobytes() if c is None else keys[3 * p + c].tobytes()) for p in (0, 1) for c in (None, 0, 1, 2)]
+    rows.append((2, 0, keys[0].tobytes()))  # a part without a filter
+    table = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows])], ["part", "chunk", "data"])
+    for lot in (1, 3, 9):
+        answers = list(lm._answered(iter([table.slice(i, lot) for i in range(0, 9, lot)])))
+        got = {(r["part"], r["chunk"]): r["levels"] for b in answers for r in b.to_pylist()}
+        want = {(p, c): lm.read_levels(filters[p], keys[3 * p + c]).astype(np.uint8).tobytes() for p in (0, 1) for c in range(3)} | {(2, 0): bytes(40)}
+        assert got == want and len(answers) == 3
+
+
+def test_lm_task_memory_is_bounded():
+    """Counting four chunks takes a task's worker some tens of megabytes for each million tokens held, not for all of them."""
+    rng = np.random.default_rng(2)
+
+    def chunks():
+        for _ in range(4):
+            words = np.unique(rng.integers(1, 2**63, 100_000).astype(np.uint64))
+            at = rng.integers(0, len(words), 1_000_000).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([[False]]), pa.array([[1_000_000]], pa.list_(pa.int32())), pa.array([words.tobytes()]), pa.array([at.tobytes()])], ["held_out", "lens", "words", "at"])
+
+    tracemalloc.start()
+    try:
+        n = sum(len(k) for b in lm._counted(64)(chunks()) for k in b["n"].to_pylist()) // 4
+        assert n > 3_000_000 and tracemalloc.get_traced_memory()[1] < 180e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_large_rows_are_stored_in_small_groups(spark, tmp_path):
+    rows = spark.range(0, 12, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([np.random.default_rng(i).bytes(3 << 20)])], ["x"]) for b in batches for i in b.column(0).to_pylist()), "x binary")
+    out = common.stored(rows, "large", large_rows=True)
+    files = [pq.ParquetFile(f).metadata for f in Path(out._stored_at.removeprefix("file:")).glob("*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 12 and max(g.total_byte_size for g in groups) < 16 << 20
+    assert sorted(r["n"] for r in out.selectExpr("length(x) as n").collect()) == [3 << 20] * 12
+    common.remove(out)
+
+
 def test_no_ngram_is_dropped(spark, monkeypatch):
     """Scores follow from the quantised counts of all n-grams, however many there are."""
     monkeypatch.setattr(lm, "MAX_BITS", 1 << 16, raising=False)

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Fixed value: a word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,6 +113,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_table(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A small table of the driver's own values.  From rows, Spark would make it by Python workers on the executors, of
+    another kind than those of the operators, so that either kind lives on there."""
+    names = T.StructType.fromDDL(schema)
+    arrays = [pa.array(columns[f.name], to_arrow_type(f.dataType)) for f in names]
+    return spark.createDataFrame(pa.table(arrays, names.names), names)
+
+
 def fold_of(column: str, folds: int):
     """The fold of an id: crc32 of its decimal text, modulo ``folds``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(folds)

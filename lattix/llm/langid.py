@@ -29,9 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import release_memory, remove, stored
+from lattix.llm.common import local_table, release_memory, remove, stored
 
 BUCKETS = 1 << 16
+#: Words whose n-grams are in memory at once.
+LOT_WORDS = 4_000
 UNKNOWN = "und"
 #: Below this score two codewords are as good as equally near.
 AMBIGUOUS = 0.01
@@ -135,8 +137,8 @@ class Model:
             return out, counts
         words = list(ids)
         per_word = np.empty((len(words), bits + 1))
-        for a in range(0, len(words), 20_000):
-            h, starts = word_grams(words[a : a + 20_000])
+        for a in range(0, len(words), LOT_WORDS):
+            h, starts = word_grams(words[a : a + LOT_WORDS])
             per_word[a : a + len(starts)] = np.add.reduceat(self.weights[h], starts, axis=0)
         lens = np.array(lens)
         full = np.flatnonzero(lens)
@@ -156,10 +158,11 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(BUCKETS, np.int64)
             for t in part["text"]:
                 if w := words_of(t):
-                    for a in range(0, len(w), 200_000):
-                        total += np.bincount(word_grams(w[a : a + 200_000])[0], minlength=BUCKETS)
+                    for a in range(0, len(w), LOT_WORDS):
+                        total += np.bincount(word_grams(w[a : a + LOT_WORDS])[0], minlength=BUCKETS)
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
+    release_memory()
 
 
 def training_sample(docs: DataFrame, max_docs_per_language: int) -> DataFrame:
@@ -167,7 +170,8 @@ def training_sample(docs: DataFrame, max_docs_per_language: int) -> DataFrame:
     ``max_docs_per_language`` of each language.  Nothing is shuffled but counts, one row per language."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, max_docs_per_language / r["n"])) for r in counts], "lang string, share double")
+    shares = {"lang": [r["lang"] for r in counts], "share": [min(1.0, max_docs_per_language / r["n"]) for r in counts]}
+    shares = local_table(docs.sparkSession, shares, "lang string, share double")
     at = (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
     return usable.join(F.broadcast(shares), "lang").where(at < F.col("share")).select("lang", "text")
 
@@ -193,8 +197,8 @@ def fit(counts: DataFrame, totals: dict[str, int], smoothing: float) -> Model:
         one = np.ones(bits)
         return Model(languages, code, weights, one * 0, one, one)
     part = np.array([1 / (totals[x] + smoothing * BUCKETS) for x in languages])  # every language weighs the same
-    about = [(x, float(p), [c > 0 for c in row]) for x, p, row in zip(languages, part, code.tolist(), strict=True)]
-    about = F.broadcast(spark.createDataFrame(about, "lang string, part double, up array<boolean>"))
+    about = {"lang": languages, "part": part.tolist(), "up": (code > 0).tolist()}
+    about = F.broadcast(local_table(spark, about, "lang string, part double, up array<boolean>"))
     share = F.col("n") * F.col("part")
     on = [F.sum(F.when(F.col("up")[b], share).otherwise(0.0)).cast("float").alias(f"b{b}") for b in range(bits)]
     got = counts.join(about, "lang").groupBy("bucket").agg(*on, F.sum(share).cast("float").alias("all")).toPandas()

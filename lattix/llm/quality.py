@@ -74,14 +74,19 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(STATISTICS)
-def document_statistics(text: pd.Series) -> pd.DataFrame:
+def _statistics(text: pd.Series) -> pd.DataFrame:
     values = text.to_numpy()
     out = np.array([measure(t) for t in values], np.int64).reshape(-1, len(BASE + MORE))
     release_memory()
     return pd.DataFrame(out, columns=BASE + MORE)
 
 
+document_statistics = F.pandas_udf(_statistics, STATISTICS)
+#: The same, computed where it stands: Spark takes no filter on its result below a join, where it would measure all rows,
+#: and then the joined ones again by a second Python worker of the same task.
+_statistics_here = F.pandas_udf(_statistics, STATISTICS).asNondeterministic()
+
+
 def base_failed(s: str = "") -> Column:
     n, r = F.col(f"{s}n_words"), F.col(f"{s}n_repeat_words")
     return (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)
@@ -195,8 +200,9 @@ def cover(rows: pd.DataFrame, bad: np.ndarray, *, precision: float = 0.9, max_ru
     return rules
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, **options) -> list[Rule]:
-    """Rules for documents of quality 0, from at most ``max_rows`` labels (a fixed bound, so the broadcast is small)."""
+def labelled_statistics(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(__id, __quality, statistics) of the labelled documents that the base rule leaves, at most ``max_rows``; only texts of
+    the labels that are used are measured, and each once."""
     some = (
         labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__quality"))
         .where("__id is not null and __quality is not null")
@@ -206,11 +212,16 @@ def learn_rules(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, *
     stats = (
         docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
         .join(F.broadcast(some), "__id")
-        .select("__id", "__quality", document_statistics("__text").alias("s"))
+        .select("__id", "__quality", _statistics_here("__text").alias("s"))
         .select("__id", "__quality", "s.*")
     )
     # an order and a limit at once are one pass, and the same rows whatever the tasks' timing
-    got = stats.where(~base_failed()).orderBy(order, "__id", "__quality", *BASE, *MORE).limit(max_rows).toPandas()
+    return stats.where(~base_failed()).orderBy(order, "__id", "__quality", *BASE, *MORE).limit(max_rows)
+
+
+def learn_rules(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, **options) -> list[Rule]:
+    """Rules for documents of quality 0, from at most ``max_rows`` labels (a fixed bound, so the broadcast is small)."""
+    got = labelled_statistics(docs, labels, max_rows).toPandas()
     got = got.sort_values(["__id", "__quality", *BASE], ignore_index=True)
     got = got.iloc[pd.util.hash_pandas_object(got["__id"], index=False).argsort(kind="stable")].reset_index(drop=True)
     return cover(got[BASE + MORE], got["__quality"].to_numpy() == 0, **options) if len(got) else []

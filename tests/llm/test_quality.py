@@ -69,3 +69,12 @@ def test_odd_rows(spark, odd_documents, no_documents):
         rows = quality.judge(odd_documents, rules, keep=["doc_id"]).select("doc_id", "__base_failed", "__kept").collect()
         assert len(rows) == 12 and {r["doc_id"] for r in rows if not r["__base_failed"]} == {1, 2, 3, None}  # 7 says everything twice
     assert quality.judge(no_documents, []).collect() == []
+
+
+def test_only_labelled_texts_are_measured_and_each_once(spark, tmp_path):
+    docs, labels = labelled(spark)
+    docs.write.parquet(f"{tmp_path}/docs")
+    rows = quality.labelled_statistics(spark.read.parquet(f"{tmp_path}/docs"), labels.where("doc_id < 40"), 100)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Join")  # the join is below it
+    assert sorted(r["__id"] for r in rows.collect()) == list(range(40))

@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -93,6 +94,30 @@ def test_many_languages_and_ambiguity(spark):
     assert [got[i]["ambiguous"] for i in (1, 2, 3)] == [False, True, False] and got[1]["lang_pred"] == "x"
 
 
+def test_language_learning_starts_no_second_kind_of_worker(spark):
+    """Rows of the driver go to Spark as a table, not through Python workers on the executors."""
+    df = spark.createDataFrame([(1, "aaa bbb", "x"), (2, "ccc ddd", "y")], "doc_id bigint, text string, lang string").localCheckpoint()
+    below = langid.training_sample(df.where("doc_id > 0"), 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in below and below.count("LogicalRDD") == 1  # df's own
+    some = common.local_table(spark, {"lang": ["x", "y"], "up": [[True, False], None]}, "lang string, up array<boolean>")
+    assert [tuple(r) for r in some.collect()] == [("x", [True, False]), ("y", None)]
+    assert common.local_table(spark, {"lang": []}, "lang string").collect() == []
+
+
+def test_words_go_through_in_bounded_lots(monkeypatch):
+    texts = [" ".join("".join(random.Random(i).choices("abcdefgh", k=7)) for i in range(12_000)), "a b", None]
+    weights = np.stack([np.random.default_rng(1).random(langid.BUCKETS), np.ones(langid.BUCKETS)], 1).astype(np.float32)
+    model = langid.Model(["x", "y"], langid.codewords(2), weights, np.zeros(1), np.ones(1), np.ones(1))
+    sizes, grams = [], langid.word_grams
+    monkeypatch.setattr(langid, "word_grams", lambda words: sizes.append(len(words)) or grams(words))
+    out, n = model.margins(texts)
+    counted = next(iter(langid._count(iter([pd.DataFrame({"lang": ["x"], "text": texts[:1]})]))))
+    assert max(sizes) <= 4_000 and counted["n"].sum() == n[0]
+    monkeypatch.setattr(langid, "LOT_WORDS", 1 << 30)
+    assert np.allclose(model.margins(texts)[0], out, rtol=1e-6)
+    assert next(iter(langid._count(iter([pd.DataFrame({"lang": ["x"], "text": texts[:1]})])))).equals(counted)
+
+
 def test_decoding_against_brute_force(spark):
     """Counts, classifiers, margins and losses again, one n-gram, bit and language at a time."""
     rows = spoken(24, 5)

@@ -11,9 +11,9 @@ from lattix.operators import evalkit as E
 from lattix.operators import planner as P
 from lattix.operators import runner as N
 from lattix.operators import traverse as T
-from lattix.plans.bridge import graph, sql, sql_with, star
+from lattix.plans.bridge import entities, graph, sql, sql_with, star
 from lattix.plans.build_queries import _SUGGEST, sequences, text
-from lattix.plans.graph_queries import CONTRACT, ids, keyword_ctes
+from lattix.plans.graph_queries import CONTRACT, contract_graph, ids, keyword_ctes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,17 +31,17 @@ def register(name: str, oracle: str | None = None):
 
 @register("j5_continuations", sql_with(_SUGGEST, "select module_id, n as count, via, why from cont where k = 1"))
 def _(spark, d):
-    return P.continuations(*graph(spark, d), ids(spark, "mod:brand1", "data:2"))
+    return P.continuations(*graph(spark, d, nodes=["Module"], edges=["DOWNSTREAM_OF"]), ids(spark, "mod:brand1", "data:2"))
 
 
 @register("j6_entries", sql_with(_SUGGEST, "select module_id, n as count, via, why from entr"))
 def _(spark, d):
-    return P.entries(*graph(spark, d), ids(spark, "mod:brand1", "data:2"))
+    return P.entries(*graph(spark, d, nodes=["Module"], edges=["INPUT", "WRAPS", "HAS_MODULE"]), ids(spark, "mod:brand1", "data:2"))
 
 
 @register("j7_executors", sql_with(_SUGGEST, "select module_id, method_id, alternatives, container from ex left join img using (method_id)"))
 def _(spark, d):
-    return P.executors(*graph(spark, d))
+    return P.executors(*graph(spark, d, nodes=["Method", "Container"], edges=["WRAPS", "PACKAGED_AS"]))
 
 
 @register(
@@ -69,7 +69,7 @@ _NEAR = """nb as (select r.from_id as method_id, r.kind, n.id, n.name from rel r
     ),
 )
 def _(spark, d):
-    c = PropertyGraph(spark, *graph(spark, d)).catalogue()
+    c = PropertyGraph(spark, *graph(spark, d, nodes=["Method", "Operation", "Data", "Container", "StatisticalMethod"], edges=T.BUCKETS.values())).catalogue()
     listed = [F.coalesce(F.array_join(x, "|"), F.lit("")).alias(x) for x in ("operations", "inputs", "outputs")]
     return c.select("method_id", "name", *listed, "container", "reproducibility")
 
@@ -83,7 +83,7 @@ _FILES = [("a.yaml", "doi: '10.3/9'\npmid: 1"), ("b.yaml", "doi: '10.3/18', pmid
 )
 def _(spark, d):
     files = spark.createDataFrame(_FILES, "path string, text string")
-    return K.evidence_sources(K.contracts(*graph(spark, d)), files)
+    return K.evidence_sources(K.contracts(*contract_graph(spark, d)), files)
 
 
 @register("d11_ledger_order", "select event_id as entry_id, row_number() over (order by ts, event_id)::int as ord from events where event_type = 'purchase'")
@@ -104,7 +104,7 @@ def _(spark, d):
 
 @register("a3_counts_by_kind", sql("select kind, count(*) as n, count(distinct name) as n_names from entity group by 1"))
 def _(spark, d):
-    return graph(spark, d)[0].groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"))
+    return entities(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"))
 
 
 @register("w1_first_occurrence", "select l_partkey, min(l_orderkey) as l_orderkey from lineitem group by 1")
@@ -133,7 +133,7 @@ def _(spark, d):
 
 @register("g6_matching")
 def _(spark, d):
-    o = E.oracle(*graph(spark, d))
+    o = E.oracle(*graph(spark, d, nodes=["Method"], edges=["WRAPS", "PERFORMS", "INPUT", "OUTPUT"]))
     return E.matched_by_class(sequences(spark, d, 0), sequences(spark, d, 1), o["operations"], o["inputs"])
 
 
@@ -144,7 +144,7 @@ def _(spark, d):
 def _(spark, d):
     from pyspark.sql import types as Y
 
-    entity, _ = graph(spark, d)
+    entity = entities(spark, d, "Method")
     lines = star(spark, d, "lineitem")
     seq = lines.groupBy(text("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("m:"), text("l_partkey")))).alias("s"))
     gold = F.struct(F.col("s").alias("sequence"), F.get("s", F.lit(0)).alias("next"))

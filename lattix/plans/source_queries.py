@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattix.operators import runner, triage
-from lattix.plans.bridge import graph, sql, sql_with, star
+from lattix.operators import traverse as T
+from lattix.plans.bridge import entities, graph, sql, sql_with, star
 from lattix.plans.build_queries import text
 from lattix.plans.runtime import shared_dir
 from lattix.sources import curated as C
@@ -196,7 +197,7 @@ def _(spark, d):
         F.when(size == 50, "mod:gone").otherwise(F.concat(F.lit("mod:"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))).alias("module_id"), F.lpad(text("p_partkey"), 9, "0").alias("path"),
         F.when(size % 2 == 0, F.concat(F.lit("img/"), text("p_size"))).otherwise("").alias("image"), F.when(size % 3 == 0, F.concat(F.lit("http://s/"), text("p_size"))).otherwise("").alias("singularity"),
     )
-    specs, _ = recipes.build_specs(r, graph(spark, d)[0].where("kind = 'Module'"))
+    specs, _ = recipes.build_specs(r, entities(spark, d, "Module"))
     return specs.select("spec_id", "image", "singularity", F.size("variants").cast("long").alias("n_variants"))
 
 
@@ -210,7 +211,7 @@ def _(spark, d):
     tool = F.when(size <= 10, F.lit("One")).when(size > 40, text("p_partkey")).otherwise(F.concat(F.lit("none"), text("p_partkey")))
     s = star(spark, d, "part").select(F.concat(F.lit("skill:"), "p_type").alias("skill_id"), F.array(tool).alias("tools"))
     aliases = spark.createDataFrame([("one", "m:1")], "tool string, method_id string")
-    return skills.wire_skills(s, graph(spark, d)[0].where("kind = 'Method'"), aliases)[0].select("skill_id", "method_id")
+    return skills.wire_skills(s, entities(spark, d, "Method"), aliases)[0].select("skill_id", "method_id")
 
 
 @register("s27_results", "select case when event_id % 2 = 0 then 'whole' else 'next' end as task, count(*) as n, count(*) filter (event_type <> 'error') as n_answered from events group by 1")
@@ -259,7 +260,7 @@ def _links(layer: str, start: str, end: str):
         once = {(r[about[1]], r[about[2]], r["evidence"]["doi"]): r for r in records}
         links = [x for r in once.values() for x in C.load_links([r], *about[1:3])]
         curated_file(spark, about[0], {"links": list(once.values())})
-        return emitted(C.emit_links(spark, layer, links, graph(spark, d)[0], ingested_at=DAY))
+        return emitted(C.emit_links(spark, layer, links, entities(spark, d), ingested_at=DAY))
 
     return run
 
@@ -286,7 +287,7 @@ def _(spark, d):
     ns = nations(spark, d)
     doc = {"assumptions": [{"id": key(n), "name": f"N{n}"} for n in ns], "requires": [{"statistical_method": f"stat:{n + 1}", "assumption": key(n), "evidence": f"doi:10/{n}"} for n in ns]}
     _, vocabulary, links = C.load_assumptions(curated_file(spark, C.ASSUMPTIONS, doc))
-    e, rel, skipped = C.emit_assumptions(spark, vocabulary, links, graph(spark, d)[0], ingested_at=DAY)
+    e, rel, skipped = C.emit_assumptions(spark, vocabulary, links, entities(spark, d), ingested_at=DAY)
     ends = F.concat("from_id", F.lit(">"), "to_id").alias("id")
     return e.select("id", "kind", "name").union(rel.select(ends, "kind", F.lit(""))).union(skipped.select(ends, "skipped", F.lit("")))
 
@@ -299,7 +300,7 @@ def _(spark, d):
 def _(spark, d):
     """Diagnostics of one assumption each; every second one also names an assumption that isn't there."""
     doc = {"diagnostics": {f"d{n}": {"name": f"D{n}", "checks": [str(n), *(["gone"] if n % 2 == 0 else [])], "ref": f"doi:10/{n}", "checkable": "pre_run", "min_replicates_per_group": n + 1} | ({"applies_to_assumption": str(n)} if n % 3 else {}) for n in nations(spark, d)}}
-    e, rel, skipped = C.emit_diagnostics(spark, C.load_diagnostics(curated_file(spark, C.DIAGNOSTICS, doc)), graph(spark, d)[0], ingested_at=DAY)
+    e, rel, skipped = C.emit_diagnostics(spark, C.load_diagnostics(curated_file(spark, C.DIAGNOSTICS, doc)), entities(spark, d), ingested_at=DAY)
     x = e.select("id", "properties").join(rel.select(F.col("to_id").alias("id"), F.col("from_id").alias("checks")), "id")
     return x.join(skipped.select(F.col("to_id").alias("id"), F.col("from_id").alias("gone")), "id", "left").select("id", "properties", "checks", F.coalesce("gone", F.lit("")).alias("skipped"))
 
@@ -311,7 +312,7 @@ def _(spark, d):
 )
 def _(spark, d):
     doc = {"data_types": {f"t{k}": {"edam": str(k)} for k in range(7)}, "tool_io": {str(n + 1): {"consumes": [f"t{n % 7}"], "produces": ["t0"]} for n in nations(spark, d)}}
-    return emitted(C.emit_tool_io(spark, C.load_tool_io(curated_file(spark, C.DATA_TYPES, doc)), graph(spark, d)[0], ingested_at=DAY))
+    return emitted(C.emit_tool_io(spark, C.load_tool_io(curated_file(spark, C.DATA_TYPES, doc)), entities(spark, d), ingested_at=DAY))
 
 
 @register(
@@ -320,7 +321,7 @@ def _(spark, d):
     select 'm:' || (n_nationkey + 1), (select min(id) from entity where kind = 'Operation'), 'PERFORMS', '{"basis": "curated"}', '' from nation"""),
 )
 def _(spark, d):
-    entity = graph(spark, d)[0]
+    entity = entities(spark, d)
     first = entity.where("kind = 'Operation'").agg(F.min("id")).first()[0]
     doc = {"methods": {str(n + 1): {"add": ["gone", first]} for n in nations(spark, d)}}
     added, _ = C.load_operation_edits(curated_file(spark, C.OPERATIONS, doc))
@@ -334,7 +335,7 @@ def _(spark, d):
 )
 def _(spark, d):
     doc = {"modalities": {f"k{k}": {"name": f"K{k}"} for k in range(4)}, "pipelines": {str(n): [f"k{n % 4}"] for n in nations(spark, d)}}
-    return emitted(C.emit_modalities(spark, *C.load_modalities(curated_file(spark, C.MODALITIES, doc)), graph(spark, d)[0], ingested_at=DAY))
+    return emitted(C.emit_modalities(spark, *C.load_modalities(curated_file(spark, C.MODALITIES, doc)), entities(spark, d), ingested_at=DAY))
 
 
 @register(
@@ -352,5 +353,5 @@ def _(spark, d):
         F.concat(F.lit("h"), text("n_nationkey")).alias("hypothesis"), F.when(n % 3 == 0, "descriptive").when(n % 3 == 1, "interventional").otherwise("observational").alias("design"),
         F.when(n % 4 != 0, F.concat(F.lit("m:"), (n + 1).cast("string"))).alias("method_id"),
     )
-    t = triage.ground(h, *graph(spark, d))
+    t = triage.ground(h, *graph(spark, d, nodes=["Method", "Operation", "Container", "Data", "StatisticalMethod", "Assumption"], edges=[*T.BUCKETS.values(), "REQUIRES_ASSUMPTION", "AMENABLE_TO"]))
     return t.select("hypothesis", "design", "method_id", "claim", "found", F.array_join("operations", "|").alias("operations"), F.array_join("statistics", "|").alias("statistics"))

@@ -125,7 +125,7 @@ class PropertyGraph:
         return audit.coverage(self.entity, self.rel)
 
     def fingerprint(self, *, runs: bool = False) -> str:
-        """The digest of all sorted lines, which one task makes; with ``runs`` another one, for graphs of any size."""
+        """The digest of all sorted lines, hashed in order on the driver; with ``runs`` another one, made by all tasks."""
         digest = fingerprint.graph_runs_fingerprint if runs else fingerprint.graph_fingerprint
         return digest(self.entity, self.rel).first()["fingerprint"]
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattix.operators.traverse import members, of_kind, resolve_keywords, seed_subgraph
+from lattix.plans.runtime import cut
 
 
 def continuations(entity: DataFrame, rel: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -74,36 +77,34 @@ def validate(entity: DataFrame, rel: DataFrame, steps: DataFrame, artifacts: Dat
     """All issues of proposed workflows: (workflow, step_ord, check_ord, code, step_id, subject).
 
     steps: workflow, step_ord, step_id, method_id, container, inputs, outputs, evidence (arrays);
-    artifacts: workflow, artifact_id, format, produced_by; decisions: workflow, decision_id, inputs, leads_to (arrays)."""
+    artifacts: workflow, artifact_id, format, produced_by; decisions: workflow, decision_id, inputs, leads_to (arrays).
+    A step meets what is known of its method once, its items the artifacts of their workflow once."""
     key = ["workflow", "step_ord", "step_id"]
-    methods = of_kind(entity, "Method").select(F.col("id").alias("method_id"))
-    found = steps.join(methods, "method_id", "left_semi")
+    steps = cut(steps.join(_method_facts(entity, rel, allowed, approved), "method_id", "left"))  # asked several times
 
-    def issue(df: DataFrame, order: int, code: str, subject) -> DataFrame:
-        return df.select(*key, F.lit(order).alias("check_ord"), F.lit(code).alias("code"), subject.alias("subject"))
+    def issue(df: DataFrame, order, code, subject) -> DataFrame:
+        literal = lambda x: F.lit(x) if isinstance(x, (int, str)) else x
+        return df.select(*key, literal(order).cast("int").alias("check_ord"), literal(code).alias("code"), subject.alias("subject"))
 
-    out = issue(steps.join(methods, "method_id", "left_anti"), 1, "method_not_found", F.col("method_id"))
+    found, absent = steps.where("known"), lambda s, x: ~F.coalesce(F.array_contains(s, x), F.lit(False))
+    out = issue(steps.where("known is null"), 1, "method_not_found", F.col("method_id"))
     if allowed is not None:
-        ok = allowed.select(F.col("id").alias("method_id"))
-        if approved is not None:
-            ok = ok.unionByName(approved.select(F.col("id").alias("method_id")))
-        out = out.unionByName(issue(found.join(ok, "method_id", "left_anti"), 2, "method_not_allowed", F.col("method_id")))
-    packed = of_kind(rel, "PACKAGED_AS").select(F.col("from_id").alias("method_id"), F.col("to_id").alias("container")).distinct()
-    out = out.unionByName(issue(found.where("container <> ''").join(packed, ["method_id", "container"], "left_anti"), 3, "container_not_packaged", F.col("container")))
-    evidence = found.select(*key, "method_id", F.explode("evidence").alias("item"))
-    tied = of_kind(rel, "PERFORMS", "INPUT", "OUTPUT").select(F.col("from_id").alias("method_id"), F.col("to_id").alias("item")).distinct()
-    tied = members(tied, "item", entity)
-    out = out.unionByName(issue(evidence.join(tied, ["method_id", "item"], "left_anti"), 4, "evidence_missing", F.col("item")))
-    art = artifacts.select("workflow", F.col("artifact_id").alias("item"), "format", "produced_by")
-    for order, name in ((5, "input"), (6, "output")):
-        items = found.select(*key, "method_id", F.explode(f"{name}s").alias("item"))
-        out = out.unionByName(issue(items.join(art, ["workflow", "item"], "left_anti"), order, f"{name}_artifact_unknown", F.col("item")))
-        known = items.join(art, ["workflow", "item"])
-        if name == "output":
-            out = out.unionByName(issue(known.where("not (produced_by <=> step_id)"), 7, "output_not_produced_here", F.col("item")))
-        io = of_kind(rel, name.upper()).select(F.col("from_id").alias("method_id"), F.col("to_id").alias("format")).distinct()
-        bound = members(known.where("format <> ''"), "method_id", io.select(F.col("method_id").alias("id")))
-        out = out.unionByName(issue(bound.join(io, ["method_id", "format"], "left_anti"), 8 if name == "input" else 9, f"{name}_contract_violation", F.col("item")))
+        out = out.unionByName(issue(found.where("ok is null"), 2, "method_not_allowed", F.col("method_id")))
+    out = out.unionByName(issue(found.where("container <> ''").where(absent(F.col("packed"), F.col("container"))), 3, "container_not_packaged", F.col("container")))
+    evidence = found.select(*key, "tied", F.explode("evidence").alias("item"))
+    out = out.unionByName(issue(evidence.where(absent(F.col("tied"), F.col("item"))), 4, "evidence_missing", F.col("item")))
+    art = artifacts.select("workflow", F.col("artifact_id").alias("item"), "format", "produced_by", F.lit(True).alias("there"))
+    role = lambda name, bound, n: F.transform(F.coalesce(name, F.array()), lambda x: F.struct(x.alias("item"), F.lit(n).alias("role"), F.col(bound).alias("bound")))
+    items = found.select(*key, F.inline(F.concat(role("inputs", "reads", 0), role("outputs", "writes", 1)))).join(art, ["workflow", "item"], "left")
+    wrong, name = (F.col("format") != "") & F.col("bound").isNotNull() & absent(F.col("bound"), F.col("format")), F.when(F.col("role") == 0, "input").otherwise("output")
+    said = lambda n, word, when: F.when(when, F.struct((n + F.col("role")).cast("int").alias("check_ord"), F.concat(name, F.lit(word)).alias("code")))
+    checks = F.array(
+        said(5, "_artifact_unknown", F.col("there").isNull()),
+        F.when(F.col("there") & (F.col("role") == 1) & ~F.col("produced_by").eqNullSafe(F.col("step_id")), F.struct(F.lit(7).alias("check_ord"), F.lit("output_not_produced_here").alias("code"))),
+        said(8, "_contract_violation", F.col("there") & wrong),
+    )
+    items = items.select(*key, "item", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("c"))
+    out = out.unionByName(issue(items, F.col("c.check_ord"), F.col("c.code"), F.col("item")))
     choice = decisions.select("workflow", F.lit(None).cast("int").alias("step_ord"), F.lit("").alias("step_id"), "inputs", "leads_to")
     asks = choice.select(*key, F.explode("inputs").alias("item"))
     out = out.unionByName(issue(asks.join(art, ["workflow", "item"], "left_anti"), 10, "decision_input_unknown", F.col("item")))
@@ -111,6 +112,22 @@ def validate(entity: DataFrame, rel: DataFrame, steps: DataFrame, artifacts: Dat
     return out.unionByName(issue(leads, 11, "decision_leads_to_unknown", F.col("item")))
 
 
+def _method_facts(entity: DataFrame, rel: DataFrame, allowed: DataFrame | None, approved: DataFrame | None) -> DataFrame:
+    """One row per method that exists: ``known``, ``ok`` if it is allowed, what it is packaged as, what is tied to it, and what it
+    reads and writes; sets are null where there is nothing."""
+    facts = of_kind(entity, "Method").select(F.col("id").alias("method_id"), F.lit(True).alias("known")).distinct()
+    ok = [x.select(F.col("id").alias("method_id")) for x in (allowed, approved) if x is not None] if allowed is not None else []
+    if ok:
+        facts = facts.join(reduce(DataFrame.unionByName, ok).distinct().withColumn("ok", F.lit(True)), "method_id", "left")
+    edges = of_kind(rel, "PACKAGED_AS", "PERFORMS", "INPUT", "OUTPUT").select(F.col("from_id").alias("method_id"), "to_id", "kind")
+    listed = lambda n, *kinds: F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("to_id"))).alias(n)
+    near = edges.groupBy("method_id").agg(listed("packed", "PACKAGED_AS"), listed("reads", "INPUT"), listed("writes", "OUTPUT"))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    near = near.select("method_id", *map(some, ("packed", "reads", "writes")))
+    tied = members(edges.where("kind <> 'PACKAGED_AS'"), "to_id", entity).groupBy("method_id").agg(F.collect_set("to_id").alias("tied"))
+    return facts.join(near, "method_id", "left").join(tied, "method_id", "left")
+
+
 def with_order(ledger: DataFrame) -> DataFrame:
     """A ledger's entries in the order in which they were recorded."""
     return ledger.withColumn("ord", F.row_number().over(Window.orderBy("recorded_at", "entry_id")))

@@ -76,8 +76,9 @@ def read_aliases(spark: SparkSession, root: str) -> DataFrame:
 def parse_pipelines(membership: DataFrame, metas: DataFrame, charts: DataFrame | None = None, aliases: DataFrame | None = None, *, module_io: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, wiring).  members: (pipeline, module_id) by joining declared paths to the modules' (path, module_id), unresolved
     ones dropped.  wiring: (pipeline, a, b, derivation, confidence), from the flow chart (pipeline, text) with (pipeline, process,
-    module_id) aliases where a pipeline has one, else from overlapping data, if (outputs, inputs) of modules are given."""
-    members = membership.join(metas, "path").select("pipeline", "module_id").distinct()
+    module_id) aliases where a pipeline has one, else from overlapping data, if (outputs, inputs) of modules are given.  Pipelines are
+    many and modules few, so what is known of modules is broadcast and no task gets a module's rows of all pipelines."""
+    members = membership.join(F.broadcast(metas), "path").select("pipeline", "module_id").distinct()
     wiring = None
     if charts is not None and aliases is not None:
 
@@ -94,7 +95,7 @@ def parse_pipelines(membership: DataFrame, metas: DataFrame, charts: DataFrame |
         wired = break_cycles(edges.select(F.col("pipeline").alias("grp"), "rank", "a", "b"))
         wiring = wired.select(F.col("grp").alias("pipeline"), "a", "b", F.lit("nextflow_dsl2").alias("derivation"), F.lit(0.95).alias("confidence"))
     if module_io is not None:
-        o, i = (members.join(df.select("module_id", "data"), "module_id") for df in module_io)
+        o, i = (members.join(F.broadcast(df.select("module_id", "data")), "module_id") for df in module_io)
         inferred = io_overlap(o, i).select("pipeline", "a", "b", F.lit("io_inferred").alias("derivation"), F.lit(0.5).alias("confidence"))
         if wiring is not None:
             inferred = inferred.join(charts.select("pipeline").distinct(), "pipeline", "left_anti")

@@ -111,7 +111,7 @@ class PropertyGraph:
     def catalogue(self) -> DataFrame:
         """One record per method: its operations as tags, what it reads and writes by name, its first container, and how
         reproducible and documented that makes it."""
-        n = traverse.neighbourhood(self.entity, self.rel, direct=True)
+        n = traverse.neighbourhood(self.entity, self.rel, direct=True, buckets=("operations", "packages", "inputs", "outputs"))
         named = lambda b: F.array_sort(F.collect_set(F.when(F.col("bucket") == b, F.col("name")))).alias(b)
         per = n.groupBy("method_id").agg(named("operations"), named("inputs"), named("outputs"), F.min(F.when(F.col("bucket") == "packages", F.struct("id", "name")))["name"].alias("container"))
         m = traverse.of_kind(self.entity, "Method").select(F.col("id").alias("method_id"), "name", F.get_json_object("properties", "$.description").alias("description"))

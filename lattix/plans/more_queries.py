@@ -69,7 +69,7 @@ _NEAR = """nb as (select r.from_id as method_id, r.kind, n.id, n.name from rel r
     ),
 )
 def _(spark, d):
-    c = PropertyGraph(spark, *graph(spark, d, nodes=["Method", "Operation", "Data", "Container", "StatisticalMethod"], edges=T.BUCKETS.values())).catalogue()
+    c = PropertyGraph(spark, *graph(spark, d, nodes=["Method", "Operation", "Data", "Container"], edges=["PERFORMS", "PACKAGED_AS", "INPUT", "OUTPUT"])).catalogue()
     listed = [F.coalesce(F.array_join(x, "|"), F.lit("")).alias(x) for x in ("operations", "inputs", "outputs")]
     return c.select("method_id", "name", *listed, "container", "reproducibility")
 
